@@ -21,7 +21,7 @@ from .common import documents, gapless, one_thread, small_batches, table, tokeni
 
 SEQUENCE = 2048
 #: Lengths are rounded up to this many tokens in the linear program.
-CLASS_WIDTH = 4
+CLASS_WIDTH = 8
 END_ID = 1
 
 
