@@ -6,8 +6,10 @@ import importlib
 
 #: name of the query: the module that holds it.
 MODULES = {
+    "op2_quality_rules": "quality_rules",
     "op4_jump_sharding": "sharding",
     "op5_pack_sequences": "packing",
+    "op6_neighbour_quality": "quality_classifier",
     "op7_piece_round_trip": "sentencepieces",
 }
 
