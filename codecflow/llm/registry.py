@@ -6,6 +6,7 @@ import importlib
 
 #: name of the query: the module that holds it.
 MODULES = {
+    "op1_embedding_near_duplicates": "embedding_dedup",
     "op10_chat_prefix_trees": "chat",
     "op2_quality_rules": "quality_rules",
     "op4_jump_sharding": "sharding",
