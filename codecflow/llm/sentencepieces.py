@@ -7,6 +7,7 @@ and each part is encoded once and kept. Every Arrow batch is checked against the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -19,7 +20,7 @@ from .common import documents, small_batches, table, tokenizer_path
 
 MARK = "▁"
 #: Parts whose encoding a worker keeps; beyond it the memory starts afresh, which changes no result.
-KEPT_PARTS = 150_000
+KEPT_PARTS = 350_000
 
 
 class Agenda:
@@ -32,54 +33,65 @@ class Agenda:
         n = lib.get_piece_size()
         pieces = [lib.id_to_piece(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(pieces) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))}
-        self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
+        score = {p: lib.get_score(i) for p, i in self.ids.items()}
+        ranks = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: ranks[s] for p, s in score.items()}
+        self.fresh: list[str] = []
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.numbers = list(range(n))
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one part: take the best-scored adjacent pair, leftmost among equals, until no pair is a piece."""
+        out: list[int] = []
+        for t in self.by_agenda(symbols):
+            k = self.ids.get(t)
+            if k is not None:
+                out.append(k)
+            elif self.byte:
+                out += [self.byte[b] for b in t.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unknown)
+        return out
+
+    def by_agenda(self, symbols: str) -> list[str]:
+        """Symbols left when no adjacent pair is a piece. An entry of the agenda is the rank of a pair's score and its
+        place in one number; an entry whose pair has changed meanwhile no longer has that rank and is passed over."""
+        rank = self.rank.get
         text = list(symbols)
         n = len(text)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        score, agenda = self.score, []
-
-        def propose(i: int, j: int) -> None:
-            if i >= 0 and j >= 0:
-                pair = text[i] + text[j]
-                s = score.get(pair)
-                if s is not None:
-                    heapq.heappush(agenda, (-s, i, j, pair))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        agenda = [r << 32 | i for i, r in enumerate([rank(a + b) for a, b in zip(text, text[1:])]) if r is not None]
+        heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if right[i] != j or text[i] + text[j] != pair or not text[i] or not text[j]:
-                continue  # one of the two has been merged meanwhile
+            e = pop(agenda)
+            i = e & 0xFFFFFFFF
+            j = right[i]
+            if j < 0 or not text[i]:
+                continue
+            pair = text[i] + text[j]
+            if rank(pair) != e >> 32:
+                continue
             text[i], text[j] = pair, ""
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            left[j] = right[j] = -1
-            propose(left[i], i)
-            propose(i, right[i])
-        out: list[int] = []
-        for t in text:
-            if t:
-                k = self.ids.get(t)
-                if k is not None:
-                    out.append(k)
-                elif self.byte:
-                    out += [self.byte[b] for b in t.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(self.unknown)
-        return out
-
-    def parts(self, text: str) -> list[tuple[str, int, tuple[int, ...]]]:
-        """(decimal ids joined by commas, their number, ids) of each part of a text."""
+            right[i] = k = right[j]
+            if k >= 0:
+                left[k] = i
+                r = rank(pair + text[k])
+                if r is not None:
+                    push(agenda, r << 32 | i)
+            k = left[i]
+            if k >= 0:
+                r = rank(text[k] + pair)
+                if r is not None:
+                    push(agenda, r << 32 | k)
+        return [t for t in text if t]
+
+    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        """(decimal ids joined by commas, ids) of each part of a text."""
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
@@ -87,42 +99,53 @@ class Agenda:
         for p in self.cut.findall(marked) if self.splits else [marked]:
             e = known.get(p)
             if e is None:
-                ids = tuple(self.merge(p))
+                ids = tuple([self.numbers[i] for i in self.merge(p)])
+                self.fresh.append(p)
                 if len(known) >= KEPT_PARTS:
                     known.clear()
-                e = (",".join(map(str, ids)), len(ids), ids)
+                e = (",".join(map(str, ids)), ids)
                 if len(p) <= 64:
                     known[p] = e
             out.append(e)
         return out
 
+    def check(self) -> None:
+        """Holds every part encoded since the last call against the library, which puts a space mark before each text."""
+        fresh, self.fresh = self.fresh, []
+        for p, want in zip(fresh, self.lib.encode([p[1:] for p in fresh], num_threads=1) if fresh else []):
+            got = self.known.get(p)
+            if list(got[1] if got else self.merge(p)) != want:
+                raise ValueError("the agenda and the library differ on " + repr(p[:60]))
+
     def encode(self, text: str) -> list[int]:
-        return [i for e in self.parts(text) for i in e[2]]
+        return [i for e in self.parts(text) for i in e[1]]
+
+
+@functools.cache
+def agenda_of(path: str) -> Agenda:
+    """One agenda for all tasks of a Python worker."""
+    return Agenda(path)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; a null text is empty and has no ids.
 
-    Any text that the agenda and the library encode differently fails the task: results are never guessed. Repeated
-    rows are encoded each for themselves; an empty table gives an empty result.
+    The parts that a batch brings for the first time are held against the library's encoding of them; a difference fails
+    the task, results are never guessed. Repeated rows are encoded each for themselves; an empty table gives an empty result.
     """
     model = tokenizer_path("piece_bpe_32k.model", path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agenda = Agenda(model)
+        agenda = agenda_of(model)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             counts, sha, decoded = [], [], []
-            expected = agenda.lib.encode(texts, num_threads=1) if texts else []
-            for t, want in zip(texts, expected):
-                parts = agenda.parts(t)
-                n = sum([e[1] for e in parts])
-                ids = [i for e in parts for i in e[2]]
-                if ids != want:
-                    raise ValueError("the agenda and the library differ on a text that begins " + repr(t[:60]))
-                counts.append(n)
+            for t in b.column(1).to_pylist():
+                parts = agenda.parts(t or "")
+                ids = [i for e in parts for i in e[1]]
+                counts.append(len(ids))
                 sha.append(hashlib.sha256(",".join([e[0] for e in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(agenda.lib.decode(ids).encode() if ids else b"").hexdigest())
+            agenda.check()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
