@@ -2,9 +2,10 @@
 
 Shingles have one global order, rare ones first: a bounded list of the frequent ones is counted over all documents, the
 others are ordered by hash. Two sets of the wanted similarity share at least m shingles of their prefixes of length
-size - ceil(0.75 * size) + m, for every m. Documents that share one shingle of their shortest prefixes (m = 1) meet in a
-cluster; there each document has the m that its estimated candidate cost asks for, and only pairs that share as many
-prefix shingles as the smaller m of the two are verified. Clusters are cut into tiles by set size and hash, so that pairs
+size - ceil(0.75 * size) + m, for every m. Each document has the m that its estimated candidate cost asks for, and a prefix
+of that length. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
+through the shingles they share; there only pairs that share as many prefix shingles as the smaller m of the two are
+verified. Clusters are cut into tiles by set size and hash, so that pairs
 never become rows and no cluster meets in one task.
 """
 
@@ -27,7 +28,7 @@ ABOVE, BELOW = 75, 100
 FREQUENT = 1 << 17
 LEAST_FREQUENT = 8
 #: Largest number of shared prefix shingles asked for, and the cost of verifying a candidate in postings read.
-MOST_MATCHES, VERIFY_COST = 8, 20.0
+MOST_MATCHES, VERIFY_COST = 16, 20.0
 TILE = 512
 _CHUNK = 2048
 _FLUSH = 1 << 22
@@ -98,7 +99,7 @@ def matches(f: np.ndarray) -> int:
     n = len(f)
     shortest = n - needed(n) + 1
     most = min(MOST_MATCHES, needed(n), n - shortest + 1)
-    if most <= 1 or f[:shortest].max() <= 1:
+    if most <= 1:
         return 1
     read = np.cumsum(f)[shortest - 1 : shortest - 1 + most].astype(float)
     m = np.arange(1, len(read) + 1)
@@ -142,21 +143,34 @@ def frequent_shingles(docs: DataFrame, words: int) -> Order:
 
 
 def prefixes(docs: DataFrame, order, words: int) -> DataFrame:
-    """doc_id, n, set_id, prefix (the shortest one) of every document."""
+    """doc_id, n, set_id, matches, prefix of every document: the prefix is as long as the matches asked for need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), order.value
         for b in batches:
-            n, ids, prefix = [], [], []
+            n, ids, m, prefix = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles.of(t or "")
                 n.append(len(s))
                 ids.append(set_id(s))
-                first = by.sorted(s)[0][: len(s) - needed(len(s)) + 1] if len(s) else s
-                prefix.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "prefix"])
+                o, f = by.sorted(s)
+                m.append(matches(f) if len(s) else 0)
+                prefix.append(o[: len(s) - needed(len(s)) + m[-1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "matches", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_id long, matches int, prefix array<long>")
+
+
+def meeting(postings: DataFrame) -> DataFrame:
+    """postings(h, set_id, matches) of shingles in several prefixes, with the least set of each (`to`).
+
+    Sets go that cannot have a partner: they share fewer prefix shingles with anyone than they or any set they meet ask for.
+    """
+    by = Window.partitionBy("h")
+    met = postings.withColumn("to", F.min("set_id").over(by)).withColumn("other", F.max("set_id").over(by)).withColumn("fewest", F.min("matches").over(by))
+    met = checkpointed(met.where("to <> other").select("h", "set_id", "matches", "to", "fewest").dropDuplicates(["h", "set_id"]))
+    able = met.groupBy("set_id").agg(F.count("*").alias("n"), F.min("matches").alias("m"), F.min("fewest").alias("fewest")).where("n >= least(m, fewest)")
+    return met.join(able.select("set_id"), "set_id")
 
 
 def ordered_sets(docs: DataFrame, order, words: int) -> DataFrame:
@@ -273,9 +287,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     able = found.where("n > 0 and doc_id is not null")
     copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
-    postings = able.select(F.explode("prefix").alias("h"), "set_id").repartition("h")
-    meet = postings.withColumn("to", F.min("set_id").over(Window.partitionBy("h"))).where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b"))
-    clusters = components(meet)
+    met = meeting(able.select(F.explode("prefix").alias("h"), "set_id", "matches"))
+    met = meeting(met.select("h", "set_id", "matches"))  # what has gone may leave others without a partner
+    clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(copies, "set_id"))
     chosen = members.withColumnRenamed("rep", "doc_id").join(docs.where("doc_id is not null"), "doc_id")
     links = checkpointed(tiles(ordered_sets(chosen, order, words), tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
