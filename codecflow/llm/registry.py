@@ -7,6 +7,7 @@ import importlib
 #: name of the query: the module that holds it.
 MODULES = {
     "op1_embedding_near_duplicates": "embedding_dedup",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_jaccard_join": "jaccard_join",
     "op10_chat_prefix_trees": "chat",
     "op2_quality_rules": "quality_rules",
