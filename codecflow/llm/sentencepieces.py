@@ -1,8 +1,9 @@
 """Encoding and decoding with merge-type SentencePiece vocabularies.
 
-The encoder is an agenda of adjacent symbol pairs ordered by piece score, then by place. Where no piece of the vocabulary
-has a space mark after another character, no merge can cross the place before a space mark, so a text falls apart there
-and each part is encoded once and kept. Every Arrow batch is checked against the sentencepiece library, which also decodes.
+The encoder is an agenda of adjacent symbol pairs ordered by piece score, then by place. No merge can cross a place whose
+two characters are neighbours in no piece of the vocabulary, so a text falls apart there: before space marks and between
+letters and other characters, where the vocabulary allows it. Each part is encoded once and kept; the parts that an Arrow
+batch brings are checked against the sentencepiece library, which also decodes.
 """
 
 from __future__ import annotations
@@ -39,11 +40,27 @@ class Agenda:
         self.fresh: list[str] = []
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
-        self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.cut, self.before = self.cuts()
         self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.numbers = list(range(n))
 
+    def cuts(self) -> tuple[re.Pattern, dict[bool, str]]:
+        """A pattern of the parts, and for parts that begin with a letter (or not) what may stand before them in a check."""
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
+            return re.compile(".+", re.S), {}
+        words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        pairs = {x + y for p in self.ids for x, y in zip(p, p[1:]) if MARK not in (x, y)}
+        letter = re.compile(r"[^\W\d_]")
+        mixed = {x if letter.match(x) else y for x, y in pairs if bool(letter.match(x)) != bool(letter.match(y))}
+        if len(mixed) > 50:
+            return words, {}
+        # the few letters that pieces join with other characters count as no letters
+        none = "".join(sorted(map(re.escape, mixed)))
+        letters, others = rf"[^\W\d_{none}]", rf"(?:(?!{MARK})[\W\d_{none}])"
+        if any(re.search(f"{letters}{others}|{others}{letters}", p) for p in self.ids):
+            return words, {}
+        return re.compile(f"{MARK}*{letters}+|{MARK}*{others}+|{MARK}+"), {True: ".", False: "a"}
+
     def merge(self, symbols: str) -> list[int]:
         """Ids of one part: take the best-scored adjacent pair, leftmost among equals, until no pair is a piece."""
         out: list[int] = []
@@ -96,7 +113,7 @@ class Agenda:
             return []
         marked = MARK + text.replace(" ", MARK)
         known, out = self.known, []
-        for p in self.cut.findall(marked) if self.splits else [marked]:
+        for p in self.cut.findall(marked):
             e = known.get(p)
             if e is None:
                 ids = tuple([self.numbers[i] for i in self.merge(p)])
@@ -112,9 +129,14 @@ class Agenda:
     def check(self) -> None:
         """Holds every part encoded since the last call against the library, which puts a space mark before each text."""
         fresh, self.fresh = self.fresh, []
-        for p, want in zip(fresh, self.lib.encode([p[1:] for p in fresh], num_threads=1) if fresh else []):
+        texts, ahead = [], []
+        for p in fresh:
+            c = "" if p[0] == MARK else self.before[not self.cut.fullmatch("." + p)]
+            texts.append(c + p if c else p[1:])
+            ahead.append(self.merge(MARK + c) if c else [])
+        for p, a, want in zip(fresh, ahead, self.lib.encode(texts, num_threads=1) if fresh else []):
             got = self.known.get(p)
-            if list(got[1] if got else self.merge(p)) != want:
+            if [*a, *(got[1] if got else self.merge(p))] != want:
                 raise ValueError("the agenda and the library differ on " + repr(p[:60]))
 
     def encode(self, text: str) -> list[int]:
