@@ -11,6 +11,7 @@ MODULES = {
     "op9_jaccard_join": "jaccard_join",
     "op10_chat_prefix_trees": "chat",
     "op2_quality_rules": "quality_rules",
+    "op3_backoff_scores": "lm_scoring",
     "op4_jump_sharding": "sharding",
     "op5_pack_sequences": "packing",
     "op6_neighbour_quality": "quality_classifier",
