@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +27,32 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there; a folder is chosen only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only where none is set, a temporary one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codecflow-checkpoint-"))
-    return df.checkpoint(eager=True)
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._codecflow_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that checkpointed() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._codecflow_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -90,7 +110,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = checkpointed(small)
+        e, old = checkpointed(small), e
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFFFF)))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
