@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, documents, forest, one_thread, small_batches, table
+from .common import checkpointed, components, discard, documents, forest, one_thread, small_batches, table
 
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
@@ -30,6 +30,8 @@ LEAST_FREQUENT = 8
 #: Largest number of shared prefix shingles asked for, and the cost of verifying a candidate in postings read.
 MOST_MATCHES, VERIFY_COST = 16, 20.0
 TILE = 512
+#: Size of the bitmap that says whose texts need not be read for verification.
+MARK_BITS = 1 << 24
 _CHUNK = 2048
 _FLUSH = 1 << 22
 _KEPT_WORDS = 200_000
@@ -110,59 +112,66 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> Order:
-    """Shingles that make up 1 / FREQUENT of all, counted over all documents.
+def surveyed(docs: DataFrame, words: int) -> DataFrame:
+    """One row for each document, (doc_id, n, set_id), and rows (h, c) of shingles that a task saw twice or more."""
+    names = ["doc_id", "n", "set_id", "h", "c"]
 
-    Tasks count what they hold and pass on what they saw twice; a shingle missed that way only takes another place in the
-    order, which is the same for all documents.
-    """
+    def batch(*columns) -> pa.RecordBatch:
+        size = max(len(x) for x in columns if x is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size = Shingles(words), [], 0
 
         def flush() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            twice = c > 1
-            return pa.RecordBatch.from_arrays([pa.array([*h[twice].view(np.int64).tolist(), None], pa.int64()), pa.array([*c[twice].tolist(), size], pa.int64())], ["h", "c"])
+            return batch(None, None, None, h[c > 1].view(np.int64), c[c > 1])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles.of(t or "")
-                held.append(s)
-                size += len(s)
+            sets = [shingles.of(t or "") for t in b.column(1).to_pylist()]
+            yield batch(b.column(0), [len(s) for s in sets], [set_id(s) for s in sets], None, None)
+            held += sets
+            size += sum([len(s) for s in sets])
             if size > _FLUSH:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
 
-    counted = checkpointed(docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    total = counted.where("h is null").agg(F.sum("c")).first()[0] or 0
-    rows = counted.where("h is not null").where(F.col("c") >= max(LEAST_FREQUENT, -(-total // FREQUENT))).toArrow()
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def frequent_shingles(survey: DataFrame) -> Order:
+    """Shingles that make up 1 / FREQUENT of all, counted over all documents.
+
+    A shingle that no task saw twice only takes another place in the order, which is the same for all documents.
+    """
+    total = survey.agg(F.sum("n")).first()[0] or 0
+    rows = survey.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, -(-total // FREQUENT))).toArrow()
     return Order(rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy())
 
 
 def prefixes(docs: DataFrame, order, words: int) -> DataFrame:
-    """doc_id, n, set_id, matches, prefix of every document: the prefix is as long as the matches asked for need."""
+    """set_id, matches, prefix of every document that has words: the prefix is as long as the matches asked for need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), order.value
         for b in batches:
-            n, ids, m, prefix = [], [], [], []
-            for t in b.column(1).to_pylist():
+            ids, m, prefix = [], [], []
+            for t in b.column(0).to_pylist():
                 s = shingles.of(t or "")
-                n.append(len(s))
-                ids.append(set_id(s))
-                o, f = by.sorted(s)
-                m.append(matches(f) if len(s) else 0)
-                prefix.append(o[: len(s) - needed(len(s)) + m[-1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "matches", "prefix"])
+                if len(s):
+                    o, f = by.sorted(s)
+                    ids.append(set_id(s))
+                    m.append(matches(f))
+                    prefix.append(o[: len(s) - needed(len(s)) + m[-1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "matches", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id long, matches int, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "set_id long, matches int, prefix array<long>")
 
 
-def meeting(postings: DataFrame) -> DataFrame:
-    """postings(h, set_id, matches) of shingles in several prefixes, with the least set of each (`to`).
+def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written table, and what is left of it: postings(h, set_id, matches) of shingles in several prefixes, with the least set of each (`to`).
 
     Sets go that cannot have a partner: they share fewer prefix shingles with anyone than they or any set they meet ask for.
     """
@@ -170,27 +179,36 @@ def meeting(postings: DataFrame) -> DataFrame:
     met = postings.withColumn("to", F.min("set_id").over(by)).withColumn("other", F.max("set_id").over(by)).withColumn("fewest", F.min("matches").over(by))
     met = checkpointed(met.where("to <> other").select("h", "set_id", "matches", "to", "fewest").dropDuplicates(["h", "set_id"]))
     able = met.groupBy("set_id").agg(F.count("*").alias("n"), F.min("matches").alias("m"), F.min("fewest").alias("fewest")).where("n >= least(m, fewest)")
-    return met.join(able.select("set_id"), "set_id")
+    return met, met.join(able.select("set_id"), "set_id")
 
 
-def ordered_sets(docs: DataFrame, order, words: int) -> DataFrame:
-    """docs(doc_id, text, set_id, ...) with n, matches and the ordered set; rows whose text is of another set go."""
-    names = [c for c in docs.columns if c != "text"]
+def marks(ids: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
+    """A bitmap of `bits` bits, those of the hashes of ids(id) set: it tells which ids are certainly not among them."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.floor(at / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(id), %d), 64) as int))" % bits).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def ordered_sets(docs: DataFrame, order, marked, words: int) -> DataFrame:
+    """set_id, n, matches and the ordered set of the documents that `marked` does not rule out."""
+    bits = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, by = Shingles(words), order.value
+        shingles, by, bitmap = Shingles(words), order.value, marked.value
         for b in batches:
-            keep, n, m, sets = [], [], [], []
-            for i, (t, want) in enumerate(zip(b.column("text").to_pylist(), b.column("set_id").to_pylist())):
+            at = b.column(0).to_numpy()
+            maybe = np.flatnonzero(bitmap[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
+            ids, n, m, sets = [], [], [], []
+            for t in b.column(1).take(pa.array(maybe)).to_pylist():
                 s = shingles.of(t or "")
-                if set_id(s) == want:
+                if len(s):
                     o, f = by.sorted(s)
-                    keep.append(i), n.append(len(s)), m.append(matches(f)), sets.append(o.tobytes())
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in names), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sets, pa.binary())], [*names, "n", "matches", "shingles"])
+                    ids.append(set_id(s)), n.append(len(s)), m.append(matches(f)), sets.append(o.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "n", "matches", "shingles"])
 
-    schema = docs.drop("text").withColumns({"n": F.lit(0).cast("long"), "matches": F.lit(0).cast("long"), "shingles": F.lit(b"")}).schema
-    return docs.mapInArrow(run, schema)
+    return docs.select(bits, "text").mapInArrow(run, "set_id long, n long, matches long, shingles binary")
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -282,17 +300,21 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     """
     spark = docs.sparkSession
     docs = documents(docs)
-    order = spark.sparkContext.broadcast(frequent_shingles(docs, words))  # at most FREQUENT entries
-    found = checkpointed(prefixes(docs, order, words))
+    found = checkpointed(surveyed(docs, words))
+    order = spark.sparkContext.broadcast(frequent_shingles(found))  # at most FREQUENT entries
+    found = found.where("n is not null").select("doc_id", "n", "set_id")
     able = found.where("n > 0 and doc_id is not null")
     copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
-    met = meeting(able.select(F.explode("prefix").alias("h"), "set_id", "matches"))
-    met = meeting(met.select("h", "set_id", "matches"))  # what has gone may leave others without a partner
+    first, met = meeting(prefixes(docs.where("doc_id is not null"), order, words).select(F.explode("prefix").alias("h"), "set_id", "matches"))
+    second, met = meeting(met.select("h", "set_id", "matches"))  # what has gone may leave others without a partner
+    discard(first)
     clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(copies, "set_id"))
-    chosen = members.withColumnRenamed("rep", "doc_id").join(docs.where("doc_id is not null"), "doc_id")
-    links = checkpointed(tiles(ordered_sets(chosen, order, words), tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
+    discard(second)
+    marked = spark.sparkContext.broadcast(marks(members.select(F.col("rep").alias("id"))))  # MARK_BITS bits
+    chosen = members.join(ordered_sets(docs.where("doc_id is not null"), order, marked, words), "set_id")
+    links = checkpointed(tiles(chosen, tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
     counts = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_linked"))
     reps = copies.select(F.col("set_id").alias("s"), "rep")
     edges = links.where("b is not null").join(reps, F.col("a") == F.col("s")).select(F.col("rep").alias("ra"), "b").join(reps, F.col("b") == F.col("s")).select(F.col("ra").alias("a"), F.col("rep").alias("b"))
