@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, forest, one_thread, table
 
 SIMILARITY = 0.98
-#: Centroids of each half, vectors they are fitted on, vectors in a block of a cell.
-CENTROIDS, SAMPLE, BLOCK = 24, 4096, 512
+#: Centroids of each half, vectors they are fitted on, vectors in a block of a cell. More centroids make smaller cells but
+#: more visits: where vectors fill their space evenly, the exact bound lets 64 cells be visited 27 times, 576 cells 94 times.
+CENTROIDS, SAMPLE, BLOCK = 8, 4096, 512
+#: Vectors whose visits make up one batch.
+_SLICE = 512
 #: What rounding may add to a distance, in the bound only.
 SLACK = 1e-6
 
@@ -85,11 +88,10 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_grid(units: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Grid:
+def fit_grid(points: DataFrame, kind: str, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Grid:
     """Codebooks from the `sample` vectors of the smallest id hashes; vectors of other lengths than the first are left out."""
-    rows = units.select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(sample).toLocalIterator()
-    x = [np.frombuffer(r["unit"], "<f8") for r in rows]
-    x = np.array([v for v in x if len(v) == len(x[0])]) if x else np.zeros((0, 2))
+    raw = [bytes(r["raw"]) for r in points.select("rep", "raw").orderBy(F.xxhash64("rep"), "rep").limit(sample).toLocalIterator()]
+    x = units([r for r in raw if len(r) == len(raw[0])], kind) if raw else np.zeros((0, 2))
     half = x.shape[1] // 2
     books = tuple(k_means(y, centroids) for y in (x[:, :half], x[:, half:]))
     return Grid(books, tuple(np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0)) for c in books))
@@ -102,55 +104,59 @@ def usable(vectors: DataFrame) -> DataFrame:
     return e.where("vec_id is not null and label is not null and embedding is not null").where(finite & F.exists("embedding", lambda v: v != 0))
 
 
-def as_units(groups: DataFrame) -> DataFrame:
-    """rep, label, mult, embedding -> with `unit`, the unit vector as little-endian doubles."""
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors of one length."""
+    x = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def as_bytes(groups: DataFrame, kind: str) -> DataFrame:
+    """rep, label, mult, embedding -> with the components as bytes (`raw`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
         for b in batches:
-            units = []
-            for v in b.column(3).to_pylist():
-                v = np.array(v, np.float64)
-                v = v / np.abs(v).max()  # so that no square over- or underflows
-                units.append((v / np.sqrt((v * v).sum())).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(units, pa.binary())], ["rep", "label", "mult", "unit"])
+            raw = [np.array(v, kind).tobytes() for v in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw, pa.binary())], ["rep", "label", "mult", "raw"])
 
-    return groups.select("rep", "label", "mult", "embedding").mapInArrow(run, "rep long, label long, mult long, unit binary")
+    return groups.select("rep", "label", "mult", "embedding").mapInArrow(run, "rep long, label long, mult long, raw binary")
 
 
-def probes(units: DataFrame, grid: Grid, similarity: float) -> DataFrame:
-    """rep, label, mult, unit, cell, home: each vector in every cell that may hold a neighbour, its own first."""
-    sent = units.sparkSession.sparkContext.broadcast(grid)  # 2 * CENTROIDS half vectors
+def probes(points: DataFrame, grid: Grid, kind: str, similarity: float) -> DataFrame:
+    """rep, label, mult, raw, cell, home: each vector in every cell that may hold a neighbour; home: in its own."""
+    sent = points.sparkSession.sparkContext.broadcast(grid)  # 2 * CENTROIDS half vectors
     most = 2 - 2 * similarity + SLACK
 
+    def visits(raw: list[bytes], g: Grid) -> tuple[list[int], list[int], list[bool]]:
+        bytes_wide = sum(b.shape[1] for b in g.books) * np.dtype(kind).itemsize
+        at, cells, home = [], [], []
+        fits = [i for i, r in enumerate(raw) if len(r) == bytes_wide]
+        for i, r in enumerate(raw):
+            if len(r) != bytes_wide:  # vectors of another length have a cell for each length
+                at.append(i), cells.append(-len(r)), home.append(True)
+        if fits:
+            m, half = units([raw[i] for i in fits], kind), g.books[0].shape[1]
+            (na, ba), (nb, bb) = g.half_bounds(0, m[:, :half]), g.half_bounds(1, m[:, half:])
+            for r, i in enumerate(fits):
+                own = int(na[r]) * len(g.books[1]) + int(nb[r])
+                found = {ca * len(g.books[1]) + cb for ca, cb in traverse(ba[r], bb[r], most)} | {own}
+                for c in sorted(found):
+                    at.append(i), cells.append(c), home.append(c == own)
+        return at, cells, home
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        g = sent.value
-        width = sum(b.shape[1] for b in g.books)
-        for batch in batches:
-            raw = batch.column(3).to_pylist()
-            at, cells, home = [], [], []
-            x = [np.frombuffer(r, "<f8") for r in raw]
-            fits = [i for i, v in enumerate(x) if len(v) == width]
-            for i in range(len(x)):
-                if len(x[i]) != width:  # vectors of another length have a cell for each length
-                    at.append(i), cells.append(-len(x[i])), home.append(True)
-            if fits:
-                m = np.stack([x[i] for i in fits])
-                half = g.books[0].shape[1]
-                (na, ba), (nb, bb) = g.half_bounds(0, m[:, :half]), g.half_bounds(1, m[:, half:])
-                for r, i in enumerate(fits):
-                    own = int(na[r]) * len(g.books[1]) + int(nb[r])
-                    found = {ca * len(g.books[1]) + cb for ca, cb in traverse(ba[r], bb[r], most)} | {own}
-                    for c in sorted(found):
-                        at.append(i), cells.append(c), home.append(c == own)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(cells, pa.int64()), pa.array(home, pa.bool_())], ["rep", "label", "mult", "unit", "cell", "home"])
-
-    return units.mapInArrow(run, "rep long, label long, mult long, unit binary, cell long, home boolean")
-
-
-def verify(placed: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+        for b in batches:
+            for lo in range(0, b.num_rows, _SLICE):
+                part = b.slice(lo, _SLICE)
+                at, cells, home = visits(part.column(3).to_pylist(), sent.value)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(cells, pa.int64()), pa.array(home, pa.bool_())], ["rep", "label", "mult", "raw", "cell", "home"])
+
+    return points.mapInArrow(run, "rep long, label long, mult long, raw binary, cell long, home boolean")
+
+
+def verify(placed: DataFrame, kind: str, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b, n): b null: n links that a has in a pair of blocks; else a link of the spanning forest there.
 
     A cell is dealt into blocks by id hash; every pair of a block of visitors and a block of its own vectors is one small
@@ -159,18 +165,17 @@ def verify(placed: DataFrame, similarity: float, block: int = BLOCK) -> DataFram
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / block).cast("int").alias("own_blocks"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("own_blocks > 0")
     p = placed.join(sizes, ["label", "cell"])
     mixed = F.xxhash64("rep", "cell")
-    visits = p.select("label", "cell", F.pmod(mixed, F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("j"), "rep", "mult", "unit", F.lit(False).alias("own"))
-    owns = p.where("home").select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed, F.col("own_blocks")).alias("j"), "rep", "mult", "unit", F.lit(True).alias("own"))
+    visits = p.select("label", "cell", F.pmod(mixed, F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("j"), "rep", "mult", "raw", F.lit(False).alias("own"))
+    owns = p.where("home").select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed, F.col("own_blocks")).alias("j"), "rep", "mult", "raw", F.lit(True).alias("own"))
     both = visits.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")).unionByName(owns.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")))
 
     def links(t: pa.Table) -> pa.Table:
         one_thread()
         own = t.column("own").to_numpy().astype(bool)
-        rep, mult, unit = t.column("rep").to_numpy(), t.column("mult").to_numpy(), t.column("unit").to_pylist()
+        rep, mult, raw = t.column("rep").to_numpy(), t.column("mult").to_numpy(), t.column("raw").to_pylist()
         out: tuple[list, list, list] = ([], [], [])
         if own.any() and not own.all():
-            y = np.stack([np.frombuffer(unit[k], "<f8") for k in np.flatnonzero(own)])
-            x = np.stack([np.frombuffer(unit[k], "<f8") for k in np.flatnonzero(~own)])
+            y, x = (units([raw[k] for k in np.flatnonzero(of)], kind) for of in (own, ~own))
             near = (x @ y.T >= similarity) & (rep[~own][:, None] != rep[own][None, :])
             n = near @ mult[own]
             for k in np.flatnonzero(n):
@@ -194,8 +199,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, centroid
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"))
     able = usable(vectors)
     points = checkpointed(able.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    units = checkpointed(as_units(points))
-    found = checkpointed(verify(probes(units, fit_grid(units, centroids, sample), similarity), similarity))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # floats are kept as they are
+    raw = checkpointed(as_bytes(points, kind))
+    found = checkpointed(verify(probes(raw, fit_grid(raw, kind, centroids, sample), kind, similarity), kind, similarity))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     copies = able.join(points, ["label", "embedding"]).groupBy("vec_id").agg(F.min("rep").alias("rep"), F.max("mult").alias("mult"))
     merged = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
