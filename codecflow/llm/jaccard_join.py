@@ -27,8 +27,9 @@ ABOVE, BELOW = 75, 100
 #: A shingle is frequent when it is this fraction of all shingles of all sets, so there are at most as many frequent ones.
 FREQUENT = 1 << 17
 LEAST_FREQUENT = 8
-#: Largest number of shared prefix shingles asked for, and the cost of verifying a candidate in postings read.
-MOST_MATCHES, VERIFY_COST = 16, 20.0
+#: Largest number of shared prefix shingles asked for (or this share of a set's size, if more), and the cost of verifying
+#: a candidate in postings read.
+MOST_MATCHES, MATCH_SHARE, VERIFY_COST = 16, 1 / 16, 20.0
 TILE = 512
 #: Size of the bitmap that says whose texts need not be read for verification.
 MARK_BITS = 1 << 24
@@ -100,7 +101,7 @@ def matches(f: np.ndarray) -> int:
     """How many shared prefix shingles to ask for: the least estimated cost of postings read and candidates verified."""
     n = len(f)
     shortest = n - needed(n) + 1
-    most = min(MOST_MATCHES, needed(n), n - shortest + 1)
+    most = min(max(MOST_MATCHES, int(n * MATCH_SHARE)), needed(n), n - shortest + 1)
     if most <= 1:
         return 1
     read = np.cumsum(f)[shortest - 1 : shortest - 1 + most].astype(float)
@@ -271,13 +272,16 @@ def tile_links(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "n"])
 
 
-def tiles(members: DataFrame, tile: int) -> DataFrame:
-    """members in every tile that they belong to: side -1 in a tile of one block, else 0 and 1 for the two blocks.
+def tiles(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+    """The sets of members in every tile that they belong to: side -1 in a tile of one block, else 0 and 1 for the two blocks.
 
-    Sets of similar size lie in the same or in neighbouring classes of sizes a factor of BELOW / ABOVE apart, so only
+    A cluster of at most `tile` sets is one tile. Otherwise sets of similar size lie in the same or in neighbouring classes of sizes a factor of BELOW / ABOVE apart, so only
     those meet; a class of a cluster is dealt into blocks of `tile` by hash.
     """
-    m = members.withColumn("band", F.floor(F.ln(F.col("n").cast("double")) / float(np.log(BELOW / ABOVE))).cast("int"))
+    total = members.groupBy("cluster").agg(F.count("*").alias("total"))
+    m = members.join(total, "cluster")
+    own = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(BELOW / ABOVE))).cast("int")
+    m = m.withColumn("band", F.when(F.col("total") <= tile, F.lit(0)).otherwise(own)).drop("total")  # a small cluster is one tile
     sizes = m.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
     by_band = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))  # a few dozen bands at most
     m = m.join(by_band, "cluster").withColumn("k", F.pmod(F.xxhash64("set_id", "cluster"), F.element_at("blocks", F.col("band"))).cast("int"))
@@ -288,7 +292,8 @@ def tiles(members: DataFrame, tile: int) -> DataFrame:
     same = F.transform(spread(count(band)), lambda j: tile_of(band, band, F.least(j, k), F.greatest(j, k), F.when(j == k, -1).when(k < j, 0).otherwise(1)))
     up = F.transform(spread(count(band + 1)), lambda j: tile_of(band, band + 1, k, j, F.lit(0)))
     down = F.transform(spread(count(band - 1)), lambda j: tile_of(band - 1, band, j, k, F.lit(1)))
-    return m.withColumn("t", F.explode(F.concat(same, up, down))).select("cluster", "t.*", "set_id", "mult", "n", "matches", "shingles")
+    placed = m.select("set_id", "cluster", "mult", F.concat(same, up, down).alias("t"))
+    return placed.join(sets, "set_id").withColumn("t", F.explode("t")).select("cluster", "t.*", "set_id", "mult", "n", "matches", "shingles")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) -> DataFrame:
@@ -304,7 +309,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     order = spark.sparkContext.broadcast(frequent_shingles(found))  # at most FREQUENT entries
     found = found.where("n is not null").select("doc_id", "n", "set_id")
     able = found.where("n > 0 and doc_id is not null")
-    copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
+    copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min("n").alias("n"))
     # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
     first, met = meeting(prefixes(docs.where("doc_id is not null"), order, words).select(F.explode("prefix").alias("h"), "set_id", "matches"))
     second, met = meeting(met.select("h", "set_id", "matches"))  # what has gone may leave others without a partner
@@ -313,8 +318,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(copies, "set_id"))
     discard(second)
     marked = spark.sparkContext.broadcast(marks(members.select(F.col("rep").alias("id"))))  # MARK_BITS bits
-    chosen = members.join(ordered_sets(docs.where("doc_id is not null"), order, marked, words), "set_id")
-    links = checkpointed(tiles(chosen, tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
+    sets = ordered_sets(docs.where("doc_id is not null"), order, marked, words)
+    links = checkpointed(tiles(members, sets, tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
     counts = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_linked"))
     reps = copies.select(F.col("set_id").alias("s"), "rep")
     edges = links.where("b is not null").join(reps, F.col("a") == F.col("s")).select(F.col("rep").alias("ra"), "b").join(reps, F.col("b") == F.col("s")).select(F.col("ra").alias("a"), F.col("rep").alias("b"))
