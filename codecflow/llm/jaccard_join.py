@@ -25,11 +25,11 @@ WORDS = 5
 #: Similarity as a fraction, in whole numbers.
 ABOVE, BELOW = 75, 100
 #: A shingle is frequent when it is this fraction of all shingles of all sets, so there are at most as many frequent ones.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 21
 LEAST_FREQUENT = 8
-#: Largest number of shared prefix shingles asked for (or this share of a set's size, if more), and the cost of verifying
-#: a candidate in postings read.
-MOST_MATCHES, MATCH_SHARE, VERIFY_COST = 16, 1 / 16, 20.0
+#: Largest number of shared prefix shingles asked for, as a share of a set's size (16 for small sets); the least, as a share
+#: of the largest; the cost of verifying a candidate, in postings read.
+MATCH_SHARE, LEAST_SHARE, VERIFY_COST = 1 / 5, 7 / 8, 200.0
 TILE = 512
 #: Size of the bitmap that says whose texts need not be read for verification.
 MARK_BITS = 1 << 24
@@ -97,16 +97,26 @@ def needed(n: int) -> int:
     return -(-ABOVE * n // BELOW)
 
 
+def most_matches(n: int) -> int:
+    return min(max(16, int(n * MATCH_SHARE)), needed(n))
+
+
+def least_matches(n: int) -> int:
+    return max(1, int(most_matches(n) * LEAST_SHARE))
+
+
 def matches(f: np.ndarray) -> int:
     """How many shared prefix shingles to ask for: the least estimated cost of postings read and candidates verified."""
     n = len(f)
-    shortest = n - needed(n) + 1
-    most = min(max(MOST_MATCHES, int(n * MATCH_SHARE)), needed(n), n - shortest + 1)
-    if most <= 1:
-        return 1
-    read = np.cumsum(f)[shortest - 1 : shortest - 1 + most].astype(float)
-    m = np.arange(1, len(read) + 1)
-    return int(np.argmin(read + VERIFY_COST * read / m)) + 1
+    before = n - needed(n)
+    m = np.arange(least_matches(n), most_matches(n) + 1)
+    read = np.cumsum(f)[before + m - 1].astype(float)
+    return int(m[np.argmin(read + VERIFY_COST * read / m)])
+
+
+def least_shared(n: int, m: int) -> int:
+    """What a set of n with m shares with others at least if it has a partner: the partner has needed(n) shingles or more."""
+    return min(m, least_matches(needed(n)))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -153,33 +163,36 @@ def frequent_shingles(survey: DataFrame) -> Order:
 
 
 def prefixes(docs: DataFrame, order, words: int) -> DataFrame:
-    """set_id, matches, prefix of every document that has words: the prefix is as long as the matches asked for need."""
+    """set_id, least, prefix of every document that has words: the prefix is as long as the matches asked for need, `least`
+    is what any partner shares of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), order.value
         for b in batches:
-            ids, m, prefix = [], [], []
+            ids, least, prefix = [], [], []
             for t in b.column(0).to_pylist():
                 s = shingles.of(t or "")
                 if len(s):
                     o, f = by.sorted(s)
                     ids.append(set_id(s))
-                    m.append(matches(f))
-                    prefix.append(o[: len(s) - needed(len(s)) + m[-1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(m, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "matches", "prefix"])
+                    m = matches(f)
+                    least.append(least_shared(len(s), m))
+                    prefix.append(o[: len(s) - needed(len(s)) + m].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "least", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, matches int, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "set_id long, least int, prefix array<long>")
 
 
 def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written table, and what is left of it: postings(h, set_id, matches) of shingles in several prefixes, with the least set of each (`to`).
+    """The written table, and what is left of it: postings(h, set_id, least) of shingles in several prefixes, with the least
+    set of each (`to`).
 
-    Sets go that cannot have a partner: they share fewer prefix shingles with anyone than they or any set they meet ask for.
+    Sets go that share fewer prefix shingles with all others together than they would with one partner.
     """
     by = Window.partitionBy("h")
-    met = postings.withColumn("to", F.min("set_id").over(by)).withColumn("other", F.max("set_id").over(by)).withColumn("fewest", F.min("matches").over(by))
-    met = checkpointed(met.where("to <> other").select("h", "set_id", "matches", "to", "fewest").dropDuplicates(["h", "set_id"]))
-    able = met.groupBy("set_id").agg(F.count("*").alias("n"), F.min("matches").alias("m"), F.min("fewest").alias("fewest")).where("n >= least(m, fewest)")
+    met = postings.withColumn("to", F.min("set_id").over(by)).withColumn("other", F.max("set_id").over(by))
+    met = checkpointed(met.where("to <> other").select("h", "set_id", "least", "to").dropDuplicates(["h", "set_id"]))
+    able = met.groupBy("set_id").agg(F.count("*").alias("n"), F.min("least").alias("l")).where("n >= l")
     return met, met.join(able.select("set_id"), "set_id")
 
 
@@ -311,8 +324,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     able = found.where("n > 0 and doc_id is not null")
     copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min("n").alias("n"))
     # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
-    first, met = meeting(prefixes(docs.where("doc_id is not null"), order, words).select(F.explode("prefix").alias("h"), "set_id", "matches"))
-    second, met = meeting(met.select("h", "set_id", "matches"))  # what has gone may leave others without a partner
+    first, met = meeting(prefixes(docs.where("doc_id is not null"), order, words).select(F.explode("prefix").alias("h"), "set_id", "least"))
+    second, met = meeting(met.select("h", "set_id", "least"))  # what has gone may leave others without a partner
     discard(first)
     clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(copies, "set_id"))

@@ -148,9 +148,11 @@ def test_jaccard_join_edges(spark):
 
 
 def test_matches_and_prefix_lengths():
-    for n in range(1, 200):
+    for n in range(1, 300):
         m = jaccard_join.matches(np.ones(n, np.int64))
         assert 1 <= m <= jaccard_join.needed(n) and n - jaccard_join.needed(n) + m <= n
+        for partner in range(jaccard_join.needed(n), 100 * n // 75 + 1):
+            assert jaccard_join.least_shared(n, m) <= min(m, jaccard_join.least_matches(partner)) or m < jaccard_join.least_matches(partner)
     frequent = np.r_[np.ones(80, np.int64), np.full(20, 10**7)]
     assert jaccard_join.matches(frequent) <= jaccard_join.matches(np.ones(100, np.int64))
 
