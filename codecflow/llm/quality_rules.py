@@ -158,7 +158,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = checkpointed(features(input_columns(docs)).drop("text"))
     found, own = cutoffs(measured, labels)
     whole = docs.select(F.struct("*").alias("__row"), docs["text"].cast("string").alias("text"), (docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
-    return features(whole).where(~base_failed() & ~rejected(found, own)).select("__row.*")
+    # A filter would be pushed below the projections and evaluate the features' expressions again and again.
+    return features(whole).select(F.inline(F.when(~base_failed() & ~rejected(found, own), F.array("__row"))))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
