@@ -131,7 +131,10 @@ class Agenda:
         fresh, self.fresh = self.fresh, []
         texts, ahead = [], []
         for p in fresh:
-            c = "" if p[0] == MARK else self.before[not self.cut.fullmatch("." + p)]
+            if not p.strip(MARK):  # marks alone: the library adds none to an empty text
+                c = "a"
+            else:
+                c = "" if p[0] == MARK else self.before[not self.cut.fullmatch("." + p)]
             texts.append(c + p if c else p[1:])
             ahead.append(self.merge(MARK + c) if c else [])
         for p, a, want in zip(fresh, ahead, self.lib.encode(texts, num_threads=1) if fresh else []):
