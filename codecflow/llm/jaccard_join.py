@@ -30,11 +30,12 @@ LEAST_FREQUENT = 8
 #: Largest number of shared prefix shingles asked for, as a share of a set's size (16 for small sets); the least, as a share
 #: of the largest; the cost of verifying a candidate, in postings read.
 MATCH_SHARE, LEAST_SHARE, VERIFY_COST = 1 / 5, 7 / 8, 200.0
-TILE = 512
+#: Sets, and shingles of all of them, in a block of a cluster.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 #: Size of the bitmap that says whose texts need not be read for verification.
 MARK_BITS = 1 << 24
 _CHUNK = 2048
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _KEPT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -255,7 +256,8 @@ def tile_links(t: pa.Table) -> pa.Table:
     one_thread()
     ids, side = t.column("set_id").to_numpy(), t.column("side").to_numpy()
     _, first = np.unique(np.stack([ids, side]), axis=1, return_index=True)
-    mult, n, m = (t.column(c).to_numpy() for c in ("mult", "n", "matches"))
+    mult = t.column("mult").to_numpy()
+    n, m = (t.column(c).to_numpy().astype(np.int32) for c in ("n", "matches"))
     raw = t.column("shingles")
     sets = {k: np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in first}
     left = [k for k in first if side[k] <= 0]
@@ -272,9 +274,9 @@ def tile_links(t: pa.Table) -> pa.Table:
         enough &= ids[left][:, None] != ids[right][None, :]
         rows, cols = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
         if len(rows):
-            both = shared([sets[left[i]] for i in rows], [sets[right[j]] for j in cols]).astype(np.int64)
-            union = nl[rows][:, None] + nr[cols][None, :] - both
-            near = enough[np.ix_(rows, cols)] & (BELOW * both >= ABOVE * union)
+            both = shared([sets[left[i]] for i in rows], [sets[right[j]] for j in cols])  # whole numbers below 2**24
+            near = (BELOW + ABOVE) * both.astype(np.int32) >= ABOVE * (nl[rows][:, None] + nr[cols][None, :])
+            near &= enough[np.ix_(rows, cols)]
             a, b = ids[left][rows], ids[right][cols]
             for ids_, count in ((a, near @ mult[right][cols]), *(() if alone else ((b, near.T @ mult[left][rows]),))):
                 for k in np.flatnonzero(count):
@@ -291,11 +293,11 @@ def tiles(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     A cluster of at most `tile` sets is one tile. Otherwise sets of similar size lie in the same or in neighbouring classes of sizes a factor of BELOW / ABOVE apart, so only
     those meet; a class of a cluster is dealt into blocks of `tile` by hash.
     """
-    total = members.groupBy("cluster").agg(F.count("*").alias("total"))
-    m = members.join(total, "cluster")
+    blocks = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_SHINGLES)).cast("int")
+    m = members.join(members.groupBy("cluster").agg(blocks.alias("whole")), "cluster")
     own = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(BELOW / ABOVE))).cast("int")
-    m = m.withColumn("band", F.when(F.col("total") <= tile, F.lit(0)).otherwise(own)).drop("total")  # a small cluster is one tile
-    sizes = m.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    m = m.withColumn("band", F.when(F.col("whole") == 1, F.lit(0)).otherwise(own)).drop("whole")  # a small cluster is one tile
+    sizes = m.groupBy("cluster", "band").agg(blocks.alias("blocks"))
     by_band = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))  # a few dozen bands at most
     m = m.join(by_band, "cluster").withColumn("k", F.pmod(F.xxhash64("set_id", "cluster"), F.element_at("blocks", F.col("band"))).cast("int"))
     count = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
