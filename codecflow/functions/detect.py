@@ -104,10 +104,10 @@ def parse_size(text: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """B as it is, KiB to TiB with one decimal."""
+    """B as it is, KiB to TiB with one decimal, halves rounded to even."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(" " + unit))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(" " + unit))).otherwise(out)
     return out
 
 
