@@ -24,4 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, module in MODULES.items() if (sql := getattr(importlib.import_module(f".{module}", __package__), "SQL", {}).get(name))}
+    from .oracles import SQL
+
+    return dict(SQL)
