@@ -1,7 +1,7 @@
 """Jaccard self-join on word shingles with adaptive multi-match prefixes.
 
-Shingles have one global order, rare ones first: a bounded list of the frequent ones is counted over all documents, the
-others are ordered by hash. Two sets of the wanted similarity share at least m shingles of their prefixes of length
+Shingles have one global order, rare ones first: a bounded list of the frequent ones comes from a first round over all
+documents in the order of hashes alone, the others are ordered by hash. Two sets of the wanted similarity share at least m shingles of their prefixes of length
 size - ceil(0.75 * size) + m, for every m. Each document has the m that its estimated candidate cost asks for, and a prefix
 of that length. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
 through the shingles they share; there only pairs that share as many prefix shingles as the smaller m of the two are
@@ -25,7 +25,7 @@ WORDS = 5
 #: Similarity as a fraction, in whole numbers.
 ABOVE, BELOW = 75, 100
 #: A shingle is frequent when it is this fraction of all shingles of all sets, so there are at most as many frequent ones.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 22
 LEAST_FREQUENT = 8
 #: Largest number of shared prefix shingles asked for, as a share of a set's size (16 for small sets); the least, as a share
 #: of the largest; the cost of verifying a candidate, in postings read.
@@ -35,7 +35,6 @@ TILE, TILE_SHINGLES = 1024, 1 << 20
 #: Size of the bitmap that says whose texts need not be read for verification.
 MARK_BITS = 1 << 24
 _CHUNK = 2048
-_FLUSH = 1 << 21
 _KEPT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,63 +124,60 @@ def set_id(s: np.ndarray) -> int:
 
 
 def surveyed(docs: DataFrame, words: int) -> DataFrame:
-    """One row for each document, (doc_id, n, set_id), and rows (h, c) of shingles that a task saw twice or more."""
-    names = ["doc_id", "n", "set_id", "h", "c"]
-
-    def batch(*columns) -> pa.RecordBatch:
-        size = max(len(x) for x in columns if x is not None)
-        return pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in columns], names)
+    """doc_id, n, set_id of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingles(words), [], 0
-
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return batch(None, None, None, h[c > 1].view(np.int64), c[c > 1])
-
+        shingles = Shingles(words)
         for b in batches:
             sets = [shingles.of(t or "") for t in b.column(1).to_pylist()]
-            yield batch(b.column(0), [len(s) for s in sets], [set_id(s) for s in sets], None, None)
-            held += sets
-            size += sum([len(s) for s in sets])
-            if size > _FLUSH:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "set_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long")
 
 
-def frequent_shingles(survey: DataFrame) -> Order:
-    """Shingles that make up 1 / FREQUENT of all, counted over all documents.
-
-    A shingle that no task saw twice only takes another place in the order, which is the same for all documents.
-    """
-    total = survey.agg(F.sum("n")).first()[0] or 0
-    rows = survey.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, -(-total // FREQUENT))).toArrow()
+def frequent_shingles(met: DataFrame, total: int) -> Order:
+    """Shingles that 1 / FREQUENT of all shingles are, by their numbers in the prefixes of all documents (written table)."""
+    rows = met.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, -(-total // FREQUENT))).toArrow()
     return Order(rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy())
 
 
-def prefixes(docs: DataFrame, order, words: int) -> DataFrame:
-    """set_id, least, prefix of every document that has words: the prefix is as long as the matches asked for need, `least`
-    is what any partner shares of it."""
+PREFIXES = "set_id long, least int, prefix array<long>"
+
+
+def prefixes(sets: Iterator[np.ndarray], ids: list[int], order: Order) -> pa.RecordBatch:
+    """set_id, least, prefix of sets: the prefix is as long as the matches asked for need, `least` is what any partner
+    shares of it."""
+    kept, least, prefix = [], [], []
+    for i, s in zip(ids, sets):
+        if len(s):
+            o, f = order.sorted(s)
+            m = matches(f)
+            kept.append(i)
+            least.append(least_shared(len(s), m))
+            prefix.append(o[: len(s) - needed(len(s)) + m].view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(least, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "least", "prefix"])
+
+
+def prefixes_of_texts(docs: DataFrame, words: int) -> DataFrame:
+    """Prefixes of all documents in the order of hashes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, by = Shingles(words), order.value
+        shingles, by = Shingles(words), Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for b in batches:
-            ids, least, prefix = [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingles.of(t or "")
-                if len(s):
-                    o, f = by.sorted(s)
-                    ids.append(set_id(s))
-                    m = matches(f)
-                    least.append(least_shared(len(s), m))
-                    prefix.append(o[: len(s) - needed(len(s)) + m].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(least, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "least", "prefix"])
+            sets = [shingles.of(t or "") for t in b.column(0).to_pylist()]
+            yield prefixes(sets, [set_id(s) for s in sets], by)
+
+    return docs.select("text").mapInArrow(run, PREFIXES)
+
 
-    return docs.select("text").mapInArrow(run, "set_id long, least int, prefix array<long>")
+def prefixes_of_sets(sets: DataFrame, order) -> DataFrame:
+    """Prefixes of ordered sets, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield prefixes([np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], b.column(0).to_pylist(), order.value)
+
+    return sets.select("set_id", "shingles").mapInArrow(run, PREFIXES)
 
 
 def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -321,19 +317,25 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     spark = docs.sparkSession
     docs = documents(docs)
     found = checkpointed(surveyed(docs, words))
-    order = spark.sparkContext.broadcast(frequent_shingles(found))  # at most FREQUENT entries
-    found = found.where("n is not null").select("doc_id", "n", "set_id")
     able = found.where("n > 0 and doc_id is not null")
     copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min("n").alias("n"))
-    # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
-    first, met = meeting(prefixes(docs.where("doc_id is not null"), order, words).select(F.explode("prefix").alias("h"), "set_id", "least"))
-    second, met = meeting(met.select("h", "set_id", "least"))  # what has gone may leave others without a partner
+    named = docs.where("doc_id is not null")
+    # First by hash order: few sets share enough of their prefixes to have a partner. What came often there is frequent.
+    first, met = meeting(prefixes_of_texts(named, words).select(F.explode("prefix").alias("h"), "set_id", "least"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    order = spark.sparkContext.broadcast(frequent_shingles(first, total))  # at most FREQUENT entries
+    left = checkpointed(met.select("set_id").distinct().join(copies, "set_id"))
     discard(first)
-    clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
-    members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(copies, "set_id"))
+    marked = spark.sparkContext.broadcast(marks(left.select(F.col("rep").alias("id"))))  # MARK_BITS bits
+    sets = checkpointed(ordered_sets(named, order, marked, words).join(left.select("set_id"), "set_id", "left_semi"))
+    # Then in the order of frequency: what many documents share lies behind their prefixes and joins no clusters.
+    second, met = meeting(prefixes_of_sets(sets, order).select(F.explode("prefix").alias("h"), "set_id", "least"))
+    third, met = meeting(met.select("h", "set_id", "least"))  # what has gone may leave others without a partner
     discard(second)
-    marked = spark.sparkContext.broadcast(marks(members.select(F.col("rep").alias("id"))))  # MARK_BITS bits
-    sets = ordered_sets(docs.where("doc_id is not null"), order, marked, words)
+    # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
+    clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
+    members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(left, "set_id"))
+    discard(third)
     links = checkpointed(tiles(members, sets, tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
     counts = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_linked"))
     reps = copies.select(F.col("set_id").alias("s"), "rep")
