@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bz2
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +85,65 @@ def compress_bytes(data: bytes, options: EncodeOptions) -> bytes:
     return _MODULES[options.format].encode(data, options.level)
 
 
+@dataclass
+class EncodeReport:
+    plain_bytes: int
+    coded_bytes: int
+
+
+class Encoder:
+    """Encodes what is written to it into another file object, piece by piece; finish() ends the stream."""
+
+    def __init__(self, to, options: EncodeOptions):
+        self.to, self.options, self.report = to, options, EncodeReport(0, 0)
+        self._done = False
+        if options.format == "bzip2":
+            self._stream = bz2.BZ2Compressor(gzipfmt.check_level(options.level, bzip2.DEFAULT_LEVEL))
+        elif options.format == "gzip":
+            level = gzipfmt.check_level(options.level, gzipfmt.DEFAULT_LEVEL)
+            self._stream, self._crc = zlib.compressobj(level, zlib.DEFLATED, -15), 0
+            self._put(gzipfmt.gzip_header(level))
+        else:
+            self._level, self._held, self._sum = gzipfmt.check_level(options.level, lz4fmt.DEFAULT_LEVEL), b"", xxhash.xxh32()
+            self._size = next((n for n in sorted(lz4fmt.BLOCK_SIZES.values(), reverse=True) if 2 * n <= options.memory_limit), None)
+            if self._size is None:
+                raise ConfigError("the memory limit is below two of the smallest blocks")
+            self._put(lz4fmt.join_blocks([], self._size, 0)[:-8])
+
+    def _put(self, data: bytes) -> None:
+        self.to.write(data)
+        self.report.coded_bytes += len(data)
+
+    def write(self, data: bytes) -> int:
+        if self._done:
+            raise ValueError("the stream has ended")
+        self.report.plain_bytes += len(data)
+        if self.options.format == "lz4":
+            self._sum.update(data)
+            self._held += data
+            while len(self._held) >= self._size:
+                self._put(lz4fmt.block_words([lz4fmt.encode_block(self._held[: self._size], self._level)]))
+                self._held = self._held[self._size :]
+        else:
+            if self.options.format == "gzip":
+                self._crc = zlib.crc32(data, self._crc)
+            self._put(self._stream.compress(data))
+        return len(data)
+
+    def finish(self) -> EncodeReport:
+        if not self._done:
+            self._done = True
+            if self.options.format == "lz4":
+                if self._held:
+                    self._put(lz4fmt.block_words([lz4fmt.encode_block(self._held, self._level)]))
+                self._put(bytes(4) + struct.pack("<I", self._sum.intdigest()))
+            else:
+                self._put(self._stream.flush())
+                if self.options.format == "gzip":
+                    self._put(struct.pack("<II", self._crc, self.report.plain_bytes & 0xFFFFFFFF))
+        return self.report
+
+
 def _each(df: DataFrame, column: str, out: str, fn, *, to: str = "binary") -> DataFrame:
     """df with fn(bytes) of a binary column as another column; null stays null."""
     from pyspark.sql.types import _parse_datatype_string

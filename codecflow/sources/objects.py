@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,35 @@ RANGES = "path string, first long, length long, content binary"
 
 
 def read_objects(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(path, modificationTime, length, content) of every object; filters on the first three spare reading contents."""
+    """(path, modificationTime, length, content) of every object; filters on the first three spare reading contents.
+
+    Spark's reader passes over files without bytes; their names are listed here, so that none is lost unnoticed.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return (r.option("pathGlobFilter", glob) if glob else r).load(path)
+    found = (r.option("pathGlobFilter", glob) if glob else r).load(path)
+    empty = [(p, t / 1000) for p, t in _empty_files(spark, [path] if isinstance(path, str) else path, glob, recursive)]
+    if not empty:
+        return found
+    rows = spark.createDataFrame(empty, "path string, t double")
+    return found.unionByName(rows.select("path", F.timestamp_seconds("t").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
+def _empty_files(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool) -> list[tuple[str, int]]:
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = p.getFileSystem(conf)
+        todo = list(system.globStatus(p) or [])
+        top = set(map(id, todo))
+        while todo:
+            s = todo.pop()
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if id(s) in top or recursive and not name.startswith(("_", ".")):
+                    todo += list(system.listStatus(s.getPath()))
+            elif not s.getLen() and not name.startswith(("_", ".")) and (glob is None or fnmatch(name, glob)):
+                found.append((s.getPath().toString(), s.getModificationTime()))
+    return found
 
 
 def objects(df: DataFrame, path: Column, content: Column) -> DataFrame:

@@ -121,6 +121,12 @@ def write_files(df: DataFrame, folder: str, encode: str = "none", level: int | N
     (w.option("level", str(level)) if level else w).save(folder)
 
 
+def existing_names(folder: str) -> list[str]:
+    """Names, relative to the folder, of the files that it holds already."""
+    top = folder.removeprefix("file://")
+    return [os.path.relpath(os.path.join(d, f), top) for d, _, files in os.walk(top) for f in files]
+
+
 def remove_sources(paths: list[str], done: bool) -> None:
     """Deletes inputs once their outputs are in place, and only then."""
     if done:
