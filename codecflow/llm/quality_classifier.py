@@ -138,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 weight.append(row[nz].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "quality", "at", "weight"])
 
-    got = sample.mapInArrow(rows, "doc_id long, quality int, at binary, weight binary").dropDuplicates(["doc_id"]).toLocalIterator()
-    found = sorted(((r["doc_id"], r["quality"], bytes(r["at"]), bytes(r["weight"])) for r in got))
+    # an id with several texts stands for the least of them, whatever the order of the rows
+    got = sample.mapInArrow(rows, "doc_id long, quality int, at binary, weight binary").groupBy("doc_id").agg(F.min(F.struct("quality", "at", "weight")).alias("r")).toLocalIterator()
+    found = sorted((x["doc_id"], x["r"]["quality"], bytes(x["r"]["at"]), bytes(x["r"]["weight"])) for x in got)
     x = np.zeros((len(found), TERMS), np.float32)
     for i, (_, _, at, weight) in enumerate(found):
         x[i, np.frombuffer(at, "<i4")] = np.frombuffer(weight, "<f4")

@@ -36,8 +36,8 @@ TAIL_TERMS = 20_000
 def features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides.
 
-    Only docs' text is read; the names added begin with no letter of their own, so columns of docs with the same names
-    must have been taken away before. A null text is empty.
+    Only docs' text is read, and a null text is empty. Columns of docs must have other names than those added: callers keep
+    whole rows in a struct.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("__w", F.array_remove(F.split(text, SPACES), ""))
