@@ -13,6 +13,7 @@ from ..errors import BadChecksum, BadCompressedFile, ConfigError
 from ..operators import bzip2, gzipfmt, lz4fmt
 from ..operators.checksums import fold_stream_crc, xxh32
 from ..operators.relational import decoded_offsets, with_dictionary
+from .dealing import deal
 from .layout import marks_in_chunks
 
 CANDIDATES = "path string, start_bit long, end_bit long, crc long, plain binary"
@@ -29,7 +30,8 @@ def decode_candidates(pairs: DataFrame, objects: DataFrame, column: str = "conte
     """(path, start_bit, end_bit, crc, plain) of the candidates that are blocks; each task gets the bytes of its block only."""
     first = F.floor(F.col("start_bit") / 8)
     last = F.ceil(F.element_at("stops", -1) / 8)
-    cut = pairs.join(objects.select("path", F.col(column).alias("__c")), "path").select("path", "start_bit", "stops", "crc", (8 * first).alias("base"), F.col("__c").substr((first + 1).cast("int"), (last - first).cast("int")).alias("piece")).repartition("path", "start_bit")
+    cut = pairs.join(objects.select("path", F.col(column).alias("__c")), "path").select("path", "start_bit", "stops", "crc", (8 * first).alias("base"), F.col("__c").substr((first + 1).cast("int"), (last - first).cast("int")).alias("piece"))
+    cut = deal(cut, "path", "start_bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,7 +103,7 @@ def _encode_pieces(df: DataFrame, ddl: str, fn) -> DataFrame:
             rows = [fn(p, d) for p, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types))], ["path", "segment", *names])
 
-    return df.select("path", "segment", "piece", "dictionary").repartition("path", "segment").mapInArrow(run, "path string, segment int, " + ddl)
+    return deal(df.select("path", "segment", "piece", "dictionary"), "path", "segment").mapInArrow(run, "path string, segment int, " + ddl)
 
 
 def encode_gzip(values: DataFrame, column: str = "plain", level: int | None = None, segment: int = gzipfmt.SEGMENT) -> DataFrame:
@@ -117,7 +119,7 @@ def encode_gzip(values: DataFrame, column: str = "plain", level: int | None = No
         rows = sorted(t.to_pylist(), key=lambda r: r["segment"])
         return pa.table({"path": pa.array([rows[0]["path"]], pa.string()), "content": pa.array([gzipfmt.join_segments([(r["coded"], r["crc"], r["n"]) for r in rows], level)], pa.binary())})
 
-    return coded.groupBy("path").applyInArrow(join, "path string, content binary")
+    return deal(coded, "path").groupBy("path").applyInArrow(join, "path string, content binary")
 
 
 def encode_lz4(values: DataFrame, column: str = "plain", level: int | None = None, block_size: int = 4 << 20) -> DataFrame:
@@ -135,7 +137,7 @@ def encode_lz4(values: DataFrame, column: str = "plain", level: int | None = Non
         blocks = [(r["coded"], r["stored"]) for r in rows] if plain else []
         return pa.table({"path": pa.array([key[0].as_py()], pa.string()), "content": pa.array([lz4fmt.join_blocks(blocks, block_size, xxh32(plain))], pa.binary())})
 
-    return coded.groupBy("path").cogroup(sums.groupBy("path")).applyInArrow(join, "path string, content binary")
+    return deal(coded, "path").groupBy("path").cogroup(deal(sums, "path").groupBy("path")).applyInArrow(join, "path string, content binary")
 
 
 def encode_bzip2(values: DataFrame, column: str = "plain", level: int | None = None) -> DataFrame:
@@ -165,4 +167,4 @@ def encode_bzip2(values: DataFrame, column: str = "plain", level: int | None = N
         made = [(int.from_bytes(r["coded"], "big"), r["bits"], r["crc"]) for r in rows if r["bits"]]
         return pa.table({"path": pa.array([rows[0]["path"]], pa.string()), "content": pa.array([bzip2.join_blocks(made, level)], pa.binary())})
 
-    return coded.groupBy("path").applyInArrow(join, "path string, content binary")
+    return deal(coded, "path").groupBy("path").applyInArrow(join, "path string, content binary")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BadMagic, UnsupportedFormat
 from ..operators import archives, bzip2, codecs, gzipfmt, lz4fmt
+from .dealing import deal
 
 CONTAINERS = "path string, format string, number long, compressed_start long, compressed_end long, decoded_start long, decoded_bytes long, expected_crc long, first_block long, block_count long, level int, mtime long, extra_flags int, operating_system int, name binary, comment binary, block_max_size long, block_mode string, block_checksums boolean, content_checksum boolean, declared_content_size long, eos_bit long"
 BLOCKS = "path string, format string, container long, number long, kind string, compressed_start_bit long, compressed_end_bit long, decoded_start long, decoded_bytes long, expected_crc long, stored boolean, is_final boolean"
@@ -92,7 +93,8 @@ def marks_in_chunks(objects: DataFrame, column: str = "content", chunk: int = bz
     """The same, every chunk of an object by itself: it reads the few bytes behind its end that a mark may reach into."""
     n = F.octet_length(F.col(column))
     parts = objects.select("path", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("k"), F.col(column).alias("content"))
-    parts = parts.select("path", (F.col("k").cast("long") * chunk).alias("first"), F.col("content").substr(F.col("k") * chunk + 1, F.lit(chunk + 18)).alias("piece"), (F.octet_length("content") - F.col("k") * chunk).alias("rest")).repartition("path", "first")
+    parts = parts.select("path", (F.col("k").cast("long") * chunk).alias("first"), F.col("content").substr(F.col("k") * chunk + 1, F.lit(chunk + 18)).alias("piece"), (F.octet_length("content") - F.col("k") * chunk).alias("rest"))
+    parts = deal(parts, "path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,6 +11,7 @@ from ..functions import checksums, detect
 from ..operators import archives, codecs, relational
 from ..sources.objects import objects
 from . import distributed, layout, ranges
+from .dealing import deal, spread
 
 #: Documents that make up one object where a query needs objects of some size.
 DOCS_PER_OBJECT = 50
@@ -41,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -52,7 +53,8 @@ def _documents(spark, sf_dir) -> DataFrame:
 def _bundles(spark, sf_dir) -> DataFrame:
     """(path, plain): DOCS_PER_OBJECT documents after one another."""
     d = _table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / DOCS_PER_OBJECT).cast("string").alias("path"))
-    return d.agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), ""), "UTF-8").alias("plain"))
+    whole = d.agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), ""), "UTF-8").alias("plain"))
+    return deal(whole, "path")
 
 
 _BUNDLES = f"(SELECT cast(doc_id // {DOCS_PER_OBJECT} AS varchar) AS path, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"

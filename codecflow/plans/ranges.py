@@ -12,6 +12,7 @@ from ..errors import BadIndex
 from ..functions.checksums import source_identity
 from ..operators import bzip2
 from ..operators.relational import index_violations
+from .dealing import deal
 from .layout import blocks, containers
 
 
@@ -77,7 +78,7 @@ def read_ranges(requests: DataFrame, index: DataFrame, objects: DataFrame, colum
                 out.append(plain)
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("number"), pa.array(out, pa.binary())], ["path", "number", "plain"])
 
-    decoded = cut.repartition("path", "number").mapInArrow(run, "path string, number long, plain binary")
+    decoded = deal(cut, "path", "number").mapInArrow(run, "path string, number long, plain binary")
     lo = F.greatest(F.col("start") - F.col("decoded_start"), F.lit(0))
     hi = F.least(F.col("start") + F.col("length") - F.col("decoded_start"), F.col("decoded_bytes"))
     pieces = parts.join(decoded, ["path", "number"]).select("request", "number", F.col("plain").substr((lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
