@@ -57,6 +57,11 @@ def _bundles(spark, sf_dir) -> DataFrame:
     return deal(whole, "path")
 
 
+def _coded_bundles(spark, sf_dir) -> DataFrame:
+    """The same as bzip2 objects, kept since several branches of a query read them as they would read files."""
+    return codecs.compress(_bundles(spark, sf_dir), "bzip2", level=1).drop("plain").persist()
+
+
 _BUNDLES = f"(SELECT cast(doc_id // {DOCS_PER_OBJECT} AS varchar) AS path, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
 _BUNDLE_DIGESTS = f"SELECT path, octet_length(encode(text)) AS n_bytes, md5(text) AS digest FROM {_BUNDLES}"
 
@@ -113,7 +118,7 @@ def blockwise_bzip2(spark, sf_dir):
 
 @query(f"SELECT path, md5(text) AS digest FROM {_BUNDLES}")
 def parallel_bzip2_decode(spark, sf_dir):
-    coded = codecs.compress(_bundles(spark, sf_dir), "bzip2", level=1).drop("plain")
+    coded = _coded_bundles(spark, sf_dir)
     parts = distributed.decode_bzip2(coded).select("path", "number", F.hex("plain").alias("h"))
     return parts.groupBy("path").agg(F.md5(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "h"))), lambda x: x["h"]), ""))).alias("digest"))
 
@@ -261,7 +266,7 @@ def segment_dictionary(spark, sf_dir):
 
 @query(f"SELECT path, 0 AS violations FROM {_BUNDLES}")
 def index_check(spark, sf_dir):
-    coded = codecs.compress(_bundles(spark, sf_dir), "bzip2", level=1).drop("plain")
+    coded = _coded_bundles(spark, sf_dir)
     index = ranges.build_index(coded)
     bad = ranges.check_index(index, coded).groupBy("path").agg(F.count("*").alias("n"))
     return index.select("path").distinct().join(bad, "path", "left").select("path", F.coalesce("n", F.lit(0)).cast("int").alias("violations"))
@@ -270,19 +275,19 @@ def index_check(spark, sf_dir):
 @query(f"SELECT path || ':' || s AS request, md5(substr(a, s + 1, 70000)) AS digest FROM (SELECT path, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS a FROM {_BUNDLES}), (VALUES (0), (33333)) t(s)")
 def range_read(spark, sf_dir):
     plain = _bundles(spark, sf_dir).select("path", F.encode(F.regexp_replace(F.decode("plain", "UTF-8"), r"[^\x00-\x7F]", "?"), "UTF-8").alias("plain"))
-    coded = codecs.compress(plain, "bzip2", level=1).drop("plain")
+    coded = codecs.compress(plain, "bzip2", level=1).drop("plain").persist()
     requests = coded.select("path", F.explode(F.array(F.lit(0).cast("long"), F.lit(33333).cast("long"))).alias("start")).select(F.concat("path", F.lit(":"), F.col("start").cast("string")).alias("request"), "path", "start", F.lit(70000).cast("long").alias("length"))
     return ranges.read_ranges(requests, ranges.build_index(coded), coded).select("request", F.md5("content").alias("digest"))
 
 
 @query()
 def scan_marks(spark, sf_dir):
-    return layout.marks_in_chunks(codecs.compress(_bundles(spark, sf_dir), "bzip2", level=1).drop("plain"), chunk=SMALL_CHUNK)
+    return layout.marks_in_chunks(_coded_bundles(spark, sf_dir), chunk=SMALL_CHUNK)
 
 
 @query(f"SELECT path, TRUE AS enough, 0::bigint AS over_limit FROM {_BUNDLES}")
 def mark_sanity(spark, sf_dir):
-    coded = codecs.compress(_bundles(spark, sf_dir), "bzip2", level=1).drop("plain")
+    coded = _coded_bundles(spark, sf_dir)
     m = relational.dedup_marks(layout.marks(coded))
     too_many = relational.too_many_marks(m, coded.select("path", F.octet_length("content").alias("length")))
     return m.groupBy("path").agg((F.count_if(F.col("kind") == "end") >= 1).alias("enough")).join(too_many, "path", "left").select("path", "enough", F.coalesce("marks", F.lit(0)).cast("long").alias("over_limit"))

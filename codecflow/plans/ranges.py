@@ -13,14 +13,22 @@ from ..functions.checksums import source_identity
 from ..operators import bzip2
 from ..operators.relational import index_violations
 from .dealing import deal
-from .layout import blocks, containers
+from .layout import _per_object
+
+INDEX = "path string, container long, number long, compressed_start_bit long, compressed_end_bit long, decoded_start long, decoded_bytes long, expected_crc long, level int"
 
 
 def build_index(objects: DataFrame, column: str = "content") -> DataFrame:
     """Blocks with the level of their stream and the identity (length and SHA-256) of their object, from a full decode."""
-    levels = containers(objects, column).select("path", F.col("number").alias("container"), "level")
     identity = objects.select("path", F.octet_length(F.col(column)).cast("long").alias("source_len"), source_identity(F.col(column)).alias("source_sha256"))
-    return blocks(objects, column).join(levels, ["path", "container"]).join(identity, "path")
+    return _per_object(objects, column, INDEX, _leveled).join(identity, "path")
+
+
+def _leveled(data: bytes) -> Iterator[dict]:
+    streams, found = bzip2.layout(data)
+    levels = {s["number"]: s["block_size_100k"] for s in streams}
+    for b in found:
+        yield b | {"container": b["stream"], "level": levels[b["stream"]]}
 
 
 def save_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
