@@ -28,7 +28,7 @@ SHALLOW_RIGHT, SHALLOW_LEFT = GRAM + 8, 16
 #: Anchors with more contexts than this are resolved by fingerprints of all their strings instead.
 HOT = 100_000
 #: Bytes that are hashed at a time, and bytes of contexts that are sorted at a time (unless one anchor has more).
-_SEGMENT, _SORTED = 1 << 19, 1 << 25
+_SEGMENT, _SORTED = 1 << 18, 1 << 23
 _Q = 0x9E3779B97F4A7C15
 _MASK = (1 << 20) - 1
 
