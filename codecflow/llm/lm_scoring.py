@@ -1,10 +1,14 @@
-"""Scores of a backoff language model, by one walk of each text through a weighted automaton.
+"""Scores of a backoff language model, whose counts are gathered over all training texts.
 
-Counts are gathered over all training texts. Words that make up a fixed fraction of the training tokens are the model's
-own words, n-grams of them that make up a fixed fraction its arcs; so the automaton's size is bounded by these fractions,
-whatever the corpus. N-grams are smoothed by absolute discounting: a kept n-gram is an arc, a context a state, and what a
-context leaves goes over its failure arc to the context without its first word. Every other word is reached from the empty
-context with its own add-one probability: counts of rare words, of which there is no bound, are joined, not broadcast.
+Every word and n-gram that comes LEAST_COUNT times is in the model, however many there are. N-grams are smoothed by
+absolute discounting: a kept n-gram is an arc, a context a state, and what a context leaves goes over its failure arc to the
+context without its first word. Every other word is reached from the empty context with its own add-one probability.
+
+What an automaton adds to a text falls apart into sums: each word gives its own probability and its failure arc, each kept
+n-gram gives its probability over that of its suffix, less the failure arc that it spares, and its own failure arc. So the
+model is a table (h, value) of words and n-grams by hash. Its most frequent rows, of which there is a bound, are
+broadcast; all others are joined with the words and n-grams of the texts. fit() and Automaton walk the same model in the
+memory of one machine: they are for small corpora, and are what the tests hold the sums against.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from .common import checkpointed, crc32_of_id, documents, small_batches, table
 
 FOLDS, HELD = 7, 2
 ORDER = 3
-#: A word's count is broadcast, is in the automaton, an n-gram is an arc from 1 / so many of all training tokens on: so
-#: there are at most as many.
+#: From 1 / so many of all training tokens on, a word and an n-gram are broadcast instead of joined: so there are at most
+#: as many. MODEL_WORDS and ARCS also bound the automaton that fit() makes in memory.
 BROADCAST_WORDS, MODEL_WORDS, ARCS = 1 << 21, 1 << 16, 1 << 18
 LEAST_COUNT = 2
 DISCOUNT = 0.75
@@ -32,6 +36,10 @@ _RARE = 1 << 63
 _SHIFT = 17
 _FLUSH = 1 << 22
 _KEPT_WORDS = 300_000
+#: Bits of the bitmap of kept n-grams: what it rules out is surely not kept; what it does not is looked up.
+MARK_BITS = 1 << 27
+#: The hash of what stands before a text; words have a top bit, n-grams have none.
+_START = 1
 #: The end of a text as a token; no word has spaces.
 _END = b" end"
 
@@ -260,49 +268,201 @@ def fit(training: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
     return model, words
 
 
-def walk_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, held_out) -> what broadcast words give each row, and its rare words with their numbers."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BROADCAST_WORDS counts, ARCS arcs of each order
+def mixed(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """63 bits of hash of n-grams, from the hashes of their prefixes and suffixes of one word less."""
+    z = p * np.uint64(0x9E3779B97F4A7C15) + s
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) & np.uint64(_RARE - 1)
+
+
+def hashed(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Hashes of all tokens, where each text starts, and (places, prefixes, suffixes) of the n-grams of order 2 to ORDER."""
+    ids: list[int] = []
+    starts: list[int] = []
+    for t in texts:
+        starts.append(len(ids))
+        ids += words.of(t)
+    w, at = np.array(ids, np.uint64), np.array(starts, np.int64)
+    first = np.zeros(len(w), bool)
+    first[at] = True
+    before = np.r_[np.uint64(_START), w[:-1]]
+    before[at] = _START
+    place = np.arange(len(w))
+    levels = [(place, before, w)]
+    key = mixed(before, w)
+    for _ in range(3, ORDER + 1):
+        # place has all places from some distance to the start of a text on, so the one before is there or is left out
+        live = ~first[place]
+        prefix = np.r_[np.uint64(0), key[:-1]][live]
+        place, suffix = place[live], key[live]
+        levels.append((place, prefix, suffix))
+        key = mixed(prefix, suffix)
+        first = np.r_[False, first[:-1]] | first
+    return w, at, levels
+
+
+def count_pairs(docs: DataFrame, order: int, marked) -> DataFrame:
+    """(p, s, c) of the n-grams of this order as pairs of prefix and suffix, both of which `marked` may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            p, s = (np.concatenate(x) for x in zip(*held))
+            _, at, c = np.unique(mixed(p, s), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(p[at].view(np.int64)), pa.array(s[at].view(np.int64)), pa.array(c)], ["p", "s", "c"])
+
+        for b in batches:
+            _, p, s = hashed(words, b.column(0).to_pylist())[2][order - 2]
+            if marked is not None:
+                live = is_marked(marked.value, p) & is_marked(marked.value, s)
+                p, s = p[live], s[live]
+            held.append((p, s))
+            size += len(p)
+            if size > _FLUSH:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "p long, s long, c long").groupBy("p", "s").agg(F.sum("c").alias("c"))
+
+
+def is_marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & np.uint64(MARK_BITS - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marks(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of keys(h) by their last bits."""
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def with_hash(pairs: DataFrame) -> DataFrame:
+    """(p, s, c) -> (p, s, c, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, s = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mixed(p, s).view(np.int64))], ["p", "s", "c", "h"])
+
+    return pairs.select("p", "s", "c").mapInArrow(run, "p long, s long, c long, h long")
+
+
+@dataclass
+class Table:
+    """The model as rows (h, base, value, known, c), those of words with known = 1, and what is broadcast of it."""
+
+    rows: DataFrame
+    tokens: int
+    kinds: int
+    start: float  # the failure arc before a text
+
+    @property
+    def log_all(self) -> float:
+        return float(np.log10(self.tokens + self.kinds + 1))
+
+    def often(self):
+        least = F.when(F.col("known") == 1, max(1, -(-self.tokens // BROADCAST_WORDS))).otherwise(max(1, -(-self.tokens // ARCS)))
+        return F.col("c") >= least
+
+
+def table_of(training: DataFrame) -> Table:
+    """The model of training(text), all of it distributed."""
+    sc = training.sparkSession.sparkContext
+    words = checkpointed(count_words(training))
+    end = int(np.uint64(word_hash(_END)).astype(np.int64))
+    tokens, kinds, texts = (int(x) for x in words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("c"))), F.lit(0))).first())
+    lower = words.where(F.col("c") >= LEAST_COUNT).select("h", "c", ((F.col("c") + 1) / (tokens + kinds + 1)).alias("prob"))
+    lower = lower.unionAll(training.sparkSession.createDataFrame([(_START, texts, None)], lower.schema))
+    arcs, lefts, marked = [], [], None
+    for order in range(2, ORDER + 1):
+        # counts of LEAST_COUNT reach prefix and suffix too, so that these are kept
+        pairs = with_hash(count_pairs(training, order, marked).where(F.col("c") >= LEAST_COUNT))
+        known = lower.select(F.col("h").alias("s"), F.col("prob").alias("lower"))
+        context = lower.select(F.col("h").alias("p"), F.col("c").alias("context"))
+        both = pairs.join(known, "s").join(context, "p")
+        mine = checkpointed(both.select("p", "h", "c", ((F.col("c") - DISCOUNT) / F.greatest("context", "c")).alias("prob"), "lower"))
+        rest = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+        lefts.append(checkpointed(mine.groupBy("p").agg(F.log10(rest("prob") / rest("lower")).alias("left"))))
+        arcs.append(mine)
+        lower = mine.select("h", "c", "prob")
+        if order < ORDER:
+            marked = sc.broadcast(marks(lower.select("h"), MARK_BITS))
+    own = lambda k: lefts[k].select(F.col("p").alias("h"), F.col("left").alias("own"))
+    with_own = lambda df, k: df.join(own(k), "h", "left") if k < len(lefts) else df.withColumn("own", F.lit(None).cast("double"))
+    more, log = F.coalesce("own", F.lit(0.0)), F.log10(F.col("c") + 1)
+    rows = with_own(words, 0).select("h", log.alias("base"), (log + more).alias("value"), F.lit(1).alias("known"), "c")
+    for k, mine in enumerate(arcs):
+        gain = F.log10(F.col("prob")) - F.log10(F.col("lower")) - F.col("left") + more
+        rows = rows.unionAll(with_own(mine.join(lefts[k], "p"), k + 1).select("h", F.lit(0.0).alias("base"), gain.alias("value"), F.lit(0).alias("known"), "c"))
+    first = lefts[0].where(F.col("p") == _START).first()
+    return Table(checkpointed(rows), tokens, kinds, first["left"] if first else 0.0)
+
+
+def walk_texts(docs: DataFrame, model: Table) -> DataFrame:
+    """docs(doc_id, text, held_out) -> what the broadcast rows give each row, and hashes of its other words and n-grams."""
+    frequent = model.rows.where(model.often()).toArrow()  # BROADCAST_WORDS words, ARCS n-grams of each order at most
+    h = frequent.column("h").to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    columns = [frequent.column(c).to_numpy()[by] for c in ("base", "value", "known")]
+    rare_grams = model.rows.where(~model.often() & (F.col("known") == 0)).select("h")
+    sent = docs.sparkSession.sparkContext.broadcast((h[by], *columns, marks(rare_grams, MARK_BITS)))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
+    log_all, start = model.log_all, model.start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        words, automaton = kept(m, Words, m.hashes), kept(m, m.automaton)
-        logs = np.r_[0, np.log10(m.counts + 1.0)]
+        keys, base_of, value_of, known_of, bitmap = sent.value
+        words = Words()
         for b in batches:
-            out: list[list] = [[] for _ in names[2:]]
-            for t in b.column(1).to_pylist():
-                ids = words.of(t)
-                a = np.array(ids, np.uint64)
-                rare = a >= _RARE
-                known = a[~rare].astype(np.int64)
-                base = float(logs[known].sum())
-                other = known > m.own
-                score = automaton.walk(ids, m.own) + float(logs[known[other]].sum()) - (int(other.sum()) + int(rare.sum())) * automaton.log_all
-                h, n = np.unique(a[rare], return_counts=True)
-                for x, v in zip(out, (len(ids), len(known), base - len(ids) * automaton.log_all, score, [{"h": i, "n": k} for i, k in zip(h.view(np.int64).tolist(), n.tolist())])):
-                    x.append(v)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, t) for x, t in zip(out, types))], names)
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:int>>")
-
-
-def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+            if not b.num_rows:
+                continue
+            w, at, levels = hashed(words, b.column(1).to_pylist())
+            n = np.diff(np.r_[at, len(w)])
+            text = np.repeat(np.arange(len(at)), n)
+            grams = [mixed(p, s) for _, p, s in levels]
+            all_h = np.concatenate([w, *grams])
+            owner = np.concatenate([text, *(text[place] for place, _, _ in levels)])
+            if len(keys):
+                found = np.minimum(np.searchsorted(keys, all_h), len(keys) - 1)
+                hit = keys[found] == all_h
+            else:
+                found, hit = np.zeros(len(all_h), np.int64), np.zeros(len(all_h), bool)
+            mine, of = found[hit], owner[hit]
+            total = lambda x: np.bincount(of, weights=x[mine], minlength=len(at))
+            base, value, known = total(base_of), total(value_of), total(known_of)
+            other = ~hit
+            other[len(w) :] &= is_marked(bitmap, all_h[len(w) :])
+            rare, of_rare = all_h[other], owner[other]
+            by = np.argsort(of_rare, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(of_rare, minlength=len(at)))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare[by].view(np.int64)))
+            made = (n.astype(np.int64), known.astype(np.int64), base - n * log_all, value + start - n * log_all)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x) for x in made), lists], names)
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+
+
+def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null or empty text is the end alone. The fold of a null doc_id is that of an empty text; repeated rows count and
-    score each for themselves. Words are told apart by 63-bit hashes. Without training texts every word is unknown.
+    score each for themselves. Words and n-grams are told apart by 63-bit hashes. Without training texts every word is
+    unknown.
     """
     docs = documents(docs).withColumn("held_out", F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD)
-    model, words = fit(docs.where(~F.col("held_out")), order)
+    model = table_of(docs.where(~F.col("held_out")))
     walked = checkpointed(walk_texts(docs, model).withColumn("rid", F.monotonically_increasing_id()))
-    rare = walked.select("rid", F.explode("rare").alias("x")).select("rid", "x.h", "x.n").join(words.where(F.col("c") < max(1, -(-model.tokens // BROADCAST_WORDS))), "h")
-    more = rare.groupBy("rid").agg(F.sum("n").alias("n_more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_more"))
-    got = walked.drop("rare").join(more, "rid", "left")
-    added = F.coalesce("log_more", F.lit(0.0))
-    return got.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n_more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + added).alias("base_score"), (F.col("score") + added).alias("score"))
+    rare = walked.select("rid", F.explode("rare").alias("h")).join(model.rows.where(~model.often()).drop("c"), "h")
+    more = rare.groupBy("rid").agg(F.sum("known").alias("n_more"), F.sum("base").alias("more_base"), F.sum("value").alias("more_score"))
+    got = walked.drop("rare").withColumnRenamed("base", "own_base").withColumnRenamed("score", "own_score").join(more, "rid", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
+    return got.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n_more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("own_base", "more_base").alias("base_score"), plus("own_score", "more_score").alias("score"))
 
 
 def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on single documents against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import json
 import math
@@ -356,6 +357,48 @@ def test_the_automaton_is_a_distribution(spark):
     assert by_id[1] == model.counts.max()
 
 
+def brute_scores(rows, held):
+    """Trigram backoff with every word and n-gram of count 2, straight from the definitions."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    grams = [collections.Counter() for _ in range(4)]
+    for i, t in rows:
+        if not held(i):
+            x = ["start", *tokens(t)]
+            for n in (1, 2, 3):
+                grams[n].update(tuple(x[k : k + n]) for k in range(len(x) - n + 1))
+    grams[1][("start",)], texts = 0, grams[1][("start",)]
+    total, kinds = sum(grams[1].values()), sum(c > 0 for c in grams[1].values())
+    grams[1][("start",)] = texts
+    follow = collections.defaultdict(list)
+    for n in (2, 3):
+        for g, c in grams[n].items():
+            if c >= 2:
+                follow[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[1][g] + 1) / (total + kinds + 1)
+        if grams[len(g)][g] >= 2:
+            return (grams[len(g)][g] - 0.75) / grams[len(g) - 1][g[:-1]]
+        mine = follow[g[:-1]]
+        left = (1 - sum(map(p, mine))) / (1 - sum(p(m[1:]) for m in mine)) if mine else 1.0
+        return left * p(g[1:])
+
+    p = functools.cache(p)
+    scored = lambda x: sum(math.log10(p(tuple(x[max(0, k - 2) : k + 1]))) for k in range(1, len(x)))
+    return sorted([(i, round(scored(["start", *tokens(t)]), 6)) for i, t in rows], key=str)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 18, 40, 1])
+def test_scores_know_every_word_and_n_gram(spark, broadcast, monkeypatch):
+    for name in ("BROADCAST_WORDS", "MODEL_WORDS", "ARCS"):
+        monkeypatch.setattr(lm_scoring, name, broadcast)
+    rows = lm_rows()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    got = lm_scoring.scores(docs(spark, rows)).collect()
+    assert sorted([(r["doc_id"], round(r["score"], 6)) for r in got], key=str) == brute_scores(rows, held)
+
+
 def test_no_training_text(spark):
     one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lm_scoring.scores(docs(spark, [(one, "a b")])).collect()
