@@ -17,8 +17,10 @@ from .common import SPACES, WORD, checkpointed, table
 
 #: Largest share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 RISK, DELTA = 0.05, 0.05
-#: Strata with fewer good labelled documents, and those beyond so many strata, are treated as one together.
-LEAST_IN_STRATUM, MOST_STRATA = 500, 64
+#: Strata with fewer good labelled documents are treated as one together.
+LEAST_IN_STRATUM = 500
+#: Only the SQL still has it: the strata of their own in it.
+MOST_STRATA = 64
 #: rule: (measure, grid of cutoffs, ascending)
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / n_words", [0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0]),
@@ -28,7 +30,6 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "same lines": ("n_dup_lines / n_lines", [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7]),
     "long words": ("word_chars / n_words", [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 16.0, 24.0]),
 }
-REST = "\u0000rest"
 #: Terms of a binomial tail that are added one by one; what lies beyond is bounded by a geometric series.
 TAIL_TERMS = 20_000
 
@@ -102,38 +103,41 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k <= n * p, F.least(tail, F.lit(1.0))).otherwise(1.0)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[dict[str, dict[str, float]], list[str]]:
-    """({stratum: {rule: cutoff}}, strata of their own) from features with doc_id and lang, and labels(doc_id, quality).
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, dict[str, float]]:
+    """((lang, one cutoff of each rule or null) of the strata of their own, {rule: cutoff} of the rest).
 
-    All labelled rows count; a document is good when no label of it says otherwise. What comes to the driver is one row
-    for each stratum and rule, MOST_STRATA strata at most.
+    measured has features, doc_id and lang; labels doc_id and quality. All labelled rows count; a document is good when no
+    label of it says otherwise. Every language with LEAST_IN_STRATUM good documents is a stratum, however many there are.
     """
     good = labels.where("doc_id is not null").groupBy(labels["doc_id"].cast("long").alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1")
     held = measured.where(~base_failed()).join(good, measured["doc_id"] == good["__id"], "left_semi")
-    big = held.groupBy("lang").count().where((F.col("count") >= LEAST_IN_STRATUM) & F.col("lang").isNotNull()).orderBy(F.desc("count"), "lang").limit(MOST_STRATA)
-    own = [r["lang"] for r in big.collect()]
-    held = held.withColumn("stratum", stratum(own))
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(F.when(measure(rule) > c, 1).otherwise(0)).alias(f"k{i}") for i, (rule, c) in enumerate(tests)))
-    level = delta / ((len(own) + 1) * len(tests))
+    hits = (F.sum(F.when(measure(rule) > c, 1).otherwise(0)).alias(f"k{i}") for i, (rule, c) in enumerate(tests))
+    by_lang = checkpointed(held.groupBy("lang").agg(F.count("*").alias("n"), *hits))
+    big = (F.col("n") >= LEAST_IN_STRATUM) & F.col("lang").isNotNull()
+    own = by_lang.where(big).select("lang")
+    # the stratum of the rest is null
+    counted = by_lang.groupBy(F.when(big, F.col("lang")).alias("stratum")).agg(F.sum("n").alias("n"), *(F.sum(f"k{i}").alias(f"k{i}") for i in range(len(tests))))
+    level = delta / ((own.count() + 1) * len(tests))
     rows = counted.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(tests)))).alias("x")).select("stratum", "n", "x.*")
-    certified = rows.where(binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= level).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    found: dict[str, dict[str, float]] = {}
-    for r in certified.collect():
-        found.setdefault(r["stratum"], {})[r["rule"]] = r["cutoff"]
-    return found, own
+    certified = rows.where(binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= level)
+    found = checkpointed(certified.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"__c{i}") for i, rule in enumerate(RULES))))
+    rest = found.where("stratum is null").first()
+    mine = own.join(found.where("stratum is not null"), F.col("lang") == F.col("stratum"), "left").select("lang", *(f"__c{i}" for i in range(len(RULES))), F.lit(True).alias("__own"))
+    return checkpointed(mine), {rule: rest[f"__c{i}"] for i, rule in enumerate(RULES) if rest and rest[f"__c{i}"] is not None}
 
 
-def stratum(own: list[str]) -> Column:
-    return F.when(F.col("lang").isin(own), F.col("lang")).otherwise(REST) if own else F.lit(REST)
+def with_cutoffs(df: DataFrame, own: DataFrame) -> DataFrame:
+    """df with the cutoffs of its lang, null where it has none of its own."""
+    return df.join(own.withColumnRenamed("lang", "__lang"), df["lang"] == F.col("__lang"), "left")
 
 
-def rejected(found: dict[str, dict[str, float]], own: list[str]) -> Column:
+def rejected(rest: dict[str, float]) -> Column:
     """Whether some rule's certified cutoff for the document's stratum is exceeded."""
     out = F.lit(False)
-    for s, by_rule in sorted(found.items()):
-        for rule, c in sorted(by_rule.items()):
-            out = out | ((stratum(own) == s) & (measure(rule) > c))
+    for i, rule in enumerate(RULES):
+        cutoff = F.when(F.col("__own"), F.col(f"__c{i}")).otherwise(F.lit(rest.get(rule)).cast("double"))
+        out = out | F.coalesce(measure(rule) > cutoff, F.lit(False))
     return out
 
 
@@ -149,17 +153,18 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged but never labelled; repeated rows are judged alike; without labels no rule is certified and the base decides.
     """
     measured = checkpointed(features(input_columns(docs)).drop("text"))
-    found, own = cutoffs(measured, labels)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(found, own))
+    own, rest = cutoffs(measured, labels)
+    got = with_cutoffs(measured, own).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(rest))
+    return got.select(*measured.columns, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that judge() keeps."""
     measured = checkpointed(features(input_columns(docs)).drop("text"))
-    found, own = cutoffs(measured, labels)
+    own, rest = cutoffs(measured, labels)
     whole = docs.select(F.struct("*").alias("__row"), docs["text"].cast("string").alias("text"), (docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
     # A filter would be pushed below the projections and evaluate the features' expressions again and again.
-    return features(whole).select(F.inline(F.when(~base_failed() & ~rejected(found, own), F.array("__row"))))
+    return features(with_cutoffs(whole, own)).select(F.inline(F.when(~base_failed() & ~rejected(rest), F.array("__row"))))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

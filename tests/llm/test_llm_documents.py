@@ -271,6 +271,20 @@ def test_thresholds_reject_junk_and_spare_good(spark):
     assert all(few.values())  # so few labels certify nothing
 
 
+def test_every_large_language_is_a_stratum(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_IN_STRATUM", 20)
+    r = random.Random(9)
+    plain = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(52))
+    langs = [f"l{k:02}" for k in range(64) for _ in range(21)] + [None] * 6000 + ["zz"] * 20
+    rows = [(i, plain() if x != "zz" else " ".join(w + "%" for w in plain().split()), x) for i, x in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = labels(spark, [(i, 1, 0) for i, _, _ in rows])
+    assert {x["kept"] for x in quality_rules.judge(df, marked).where("lang = 'zz'").collect()} == {True}
+    assert quality_rules.keep_good(df, marked).where("lang = 'zz'").count() == 20
+    junk = spark.createDataFrame([(10**6, rows[-1][1], None)], "doc_id long, text string, lang string")
+    assert not quality_rules.judge(df.unionAll(junk), marked).where("doc_id = 1000000").first()["kept"]  # the rest has its cutoffs
+
+
 # -- classifier ---------------------------------------------------------------------------------------------------------------------
 
 
