@@ -349,15 +349,35 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id is the component of its group; repeated rows stay once.
+    """The rows of docs, all columns as they are, whose doc_id is the component of its group.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay, and so does every row of a doc_id that stays: one_row_each() has one of each.
     """
     groups = similar_documents(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(groups, docs["doc_id"].cast("long") == groups["__id"], "left_anti")
     return kept
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of those that have the same doc_id and text, null ids included, all columns as they are.
+
+    A row with a null doc_id goes where its text comes under an id as well; rows with a null text stay. Texts are told
+    apart by 128-bit hashes, and only texts that are repeated so are gathered.
+    """
+    text = F.md5(F.col("text").cast("string").cast("binary"))
+    of_id = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("__t")).where("__t is not null").groupBy("__t", "id").agg(F.count("*").alias("c"))
+    of_text = of_id.groupBy("__t").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("id").alias("named"), F.max(F.col("id").isNull()).alias("unnamed"))
+    again = checkpointed(of_text.where("n > 1 and (most > 1 or unnamed)").select("__t", (F.col("named") > 0).alias("__named")))
+    if again.isEmpty():
+        return docs
+    tagged = docs.withColumn("__t", text)
+    once = tagged.join(again, "__t", "left_anti").select(*docs.columns)
+    rows = tagged.join(again, "__t").where("doc_id is not null or not __named")
+    # of rows that differ in other columns, always the same one
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+    return once.unionAll(rows.groupBy("__t", "doc_id").agg(first.alias("__row")).select("__row.*"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return similar_documents(table(spark, sf_dir, "documents"))

@@ -24,9 +24,9 @@ def drop_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest doc_id stays."""
+    """Of each group of similar documents, the one with the smallest doc_id stays, and of its repeated rows one."""
     small_batches(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(jaccard_join.one_row_each(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,6 +147,20 @@ def test_jaccard_join_edges(spark):
     assert kept == [(3, 7), (4, 7), (4, 7), (None, 7)]
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(80)) for _ in range(4))
+    rows = [(4, a), (4, a), (None, a), (None, b), (None, b), (5, c), (6, c), (7, d), (8, None), (8, None)]
+    df, stages = docs(spark, rows), dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    kept.write.parquet(str(tmp_path / "kept"))
+    out = stages["suffix-array dedup"](spark, spark.read.parquet(str(tmp_path / "kept")), str(tmp_path))
+    assert sorted(((x["doc_id"], x["text"]) for x in out.collect() if x["text"]), key=str) == sorted([(4, a), (None, b), (5, c), (7, d)], key=str)
+
+
 def test_matches_and_prefix_lengths():
     for n in range(1, 300):
         m = jaccard_join.matches(np.ones(n, np.int64))
