@@ -95,8 +95,8 @@ def is_archive(path: Column) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of digits with an optional unit b, k, m, g, t (also kb, kib, ...); null where it is none or too large."""
-    pattern = r"^\s*(\d+)\s*([bkmgt]?)(i?b)?\s*$"
+    """Bytes of digits with an optional unit b or k, m, g, t (also kb, kib, ...); null where it is none or too large."""
+    pattern = r"^([0-9]+)(?:b|(?:([kmgt])(?:i?b)?))?$"
     low = F.lower(text)
     number, unit = F.regexp_extract(low, pattern, 1), F.regexp_extract(low, pattern, 2)
     power = F.when(unit == "k", 1).when(unit == "m", 2).when(unit == "g", 3).when(unit == "t", 4).otherwise(0)
@@ -112,10 +112,10 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """Rounded to seconds: s, m with s, h with m."""
-    s = F.round(seconds).cast("long")
+    """Rounded to seconds, none below 0: 59s, 2m05s, 1h05m."""
+    s = F.round(F.greatest(seconds.cast("double"), F.lit(0.0))).cast("long")
     h, m = F.floor(s / 3600), F.floor(s / 60)
-    return F.when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.concat(m, F.lit("m "), s - 60 * m, F.lit("s"))).otherwise(F.concat(h, F.lit("h "), m - 60 * h, F.lit("m")))
+    return F.when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.format_string("%dm%02ds", m, s - 60 * m)).otherwise(F.format_string("%dh%02dm", h, m - 60 * h))
 
 
 def hex_lower(x: Column) -> Column:

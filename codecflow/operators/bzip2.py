@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ DEFAULT_LEVEL = 9
 MOST_IN_BLOCK = 900_000 // 5 * 259 + 4
 #: Longest run that the library codes as one (the format allows 259).
 LIBRARY_RUN = 255
-#: Following markers that are tried as a block's end when an earlier one turns out to be data.
-LOOK_AHEAD = 8
+#: Bits that a coded block has at most: 20 for each of 900,001 symbols, six tables and the selectors.
+MOST_BITS_IN_BLOCK = 20 * 900_001 + (1 << 18)
 
 
 def find_marks(data: bytes, mark: int) -> list[int]:
@@ -94,7 +95,7 @@ def decode_block(data: bytes, start_bit: int, end_bit: int, level: int, expected
 
 def candidate(data: bytes, start_bit: int, stops: list[int], level: int = 9) -> tuple[int, bytes] | None:
     """(end_bit, bytes) of a block by the first of the following marks that ends it, or None."""
-    for end in stops[:LOOK_AHEAD]:
+    for end in stops:
         try:
             return end, decode_block(data, start_bit, end, level)
         except BadCompressedFile:
@@ -130,7 +131,9 @@ def chunks(data: bytes) -> Iterator[tuple[str, object]]:
             if bit not in starts:
                 raise (Truncated if bit + 80 > 8 * len(data) else BadCompressedFile)("neither a block nor an end begins here", bit)
             got = None
-            for end in stops[index[bit] + 1 : index[bit] + 1 + LOOK_AHEAD]:
+            for end in itertools.islice(stops, index[bit] + 1, None):
+                if end - bit > MOST_BITS_IN_BLOCK and end != stops[index[bit] + 1]:
+                    break
                 try:
                     got = decode_block(data, bit, end, level)
                     break

@@ -133,8 +133,8 @@ def chunks(data: bytes) -> Iterator[tuple[str, object]]:
                 break
             stored, size = bool(word >> 31), word & 0x7FFFFFFF
             end = p + 4 + size
-            if size > f["block_max_size"] and stored or size > f["block_max_size"] + f["block_max_size"] // 255 + 16:
-                raise BadCompressedFile("a block is larger than its frame allows", 8 * p)
+            if not 0 < size <= f["block_max_size"]:
+                raise BadCompressedFile("a block is empty or larger than its frame allows", 8 * p)
             if len(data) < end + 4 * f["block_checksums"]:
                 raise Truncated("the input ends in a block", 8 * p)
             raw = data[p + 4 : end]

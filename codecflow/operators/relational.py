@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checksums import fold_stream_crc
+from ..tables import discard, kept
 
 
 def decoded_offsets(blocks: DataFrame, by: list[str], order: list[str], length: str, out: str = "decoded_start") -> DataFrame:
@@ -45,18 +46,30 @@ def index_violations(blocks: DataFrame) -> DataFrame:
 
 def chain(pairs: DataFrame, starts: DataFrame) -> DataFrame:
     """(path, number, start_bit, end_bit) of the candidates (path, start_bit, end_bit) that are reached from the starts
-    (path, start_bit) when each must begin where the one before ended: a recursive query over the metadata."""
-    spark = pairs.sparkSession
-    pairs.createOrReplaceTempView("__chain_pairs")
-    starts.createOrReplaceTempView("__chain_starts")
-    return spark.sql(
-        """
-        WITH RECURSIVE walk(path, number, start_bit, end_bit) AS (
-          SELECT p.path, 0, p.start_bit, p.end_bit FROM __chain_pairs p JOIN __chain_starts s ON p.path = s.path AND p.start_bit = s.start_bit
-          UNION ALL
-          SELECT p.path, w.number + 1, p.start_bit, p.end_bit FROM walk w JOIN __chain_pairs p ON p.path = w.path AND p.start_bit = w.end_bit
-        ) SELECT * FROM walk"""
-    )
+    (path, start_bit) when each must begin where the one before ended.
+
+    Pointer doubling over the metadata: after round k all candidates within 2**k steps are known and `jump` leads 2**k steps
+    on, so a chain of n blocks takes log2(n) rounds, each kept as a table. A candidate must end behind its start.
+    """
+    pairs = pairs.select("path", F.col("start_bit").cast("long").alias("start_bit"), F.col("end_bit").cast("long").alias("end_bit")).where("end_bit > start_bit").distinct()
+    pairs = kept(pairs)
+    jump = pairs.select("path", F.col("start_bit").alias("here"), F.col("end_bit").alias("there"))
+    reached = starts.select("path", F.lit(0).cast("long").alias("number"), F.col("start_bit").cast("long").alias("here")).distinct()
+    step, tables, found = 1, [], -1
+    while True:
+        on = reached.join(jump, ["path", "here"]).select("path", (F.col("number") + step).alias("number"), F.col("there").alias("here"))
+        reached = kept(reached.unionByName(on).distinct())
+        tables.append(reached)
+        count = reached.count()
+        if count == found:
+            break
+        found, step = count, 2 * step
+        onward = jump.select("path", F.col("here").alias("there"), F.col("there").alias("beyond"))
+        jump = kept(jump.join(onward, ["path", "there"]).select("path", "here", F.col("beyond").alias("there")).distinct())
+        tables.append(jump)
+    out = reached.join(pairs, (reached["path"] == pairs["path"]) & (reached["here"] == pairs["start_bit"])).select(pairs["path"], reached["number"].cast("int").alias("number"), "start_bit", "end_bit")
+    discard(*tables[:-1])
+    return out
 
 
 def chain_by_lag(blocks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..errors import BadChecksum, BadCompressedFile, ConfigError
 from ..operators import bzip2, gzipfmt, lz4fmt
 from ..operators.checksums import fold_stream_crc, xxh32
 from ..operators.relational import decoded_offsets, with_dictionary
+from ..tables import kept
 from .dealing import deal
 from .layout import marks_in_chunks
 
@@ -20,8 +21,8 @@ CANDIDATES = "path string, start_bit long, end_bit long, crc long, plain binary"
 
 
 def candidate_pairs(marks: DataFrame) -> DataFrame:
-    """(path, start_bit, stops): block marks with the marks that follow, the first of which is most likely their end."""
-    w = Window.partitionBy("path").orderBy("bit_offset").rowsBetween(1, bzip2.LOOK_AHEAD)
+    """(path, start_bit, stops): block marks with the marks that may end them, the first of which nearly always does."""
+    w = Window.partitionBy("path").orderBy("bit_offset").rangeBetween(1, bzip2.MOST_BITS_IN_BLOCK)
     m = marks.where("kind in ('block', 'end')").dropDuplicates(["path", "bit_offset"])
     return m.withColumn("stops", F.collect_list("bit_offset").over(w)).where("kind = 'block' and not randomized and size(stops) > 0").select("path", F.col("bit_offset").alias("start_bit"), "stops", "crc")
 
@@ -79,8 +80,12 @@ def accepted(candidates: DataFrame, marks: DataFrame) -> DataFrame:
 
 def decode_bzip2(objects: DataFrame, column: str = "content") -> DataFrame:
     """(path, number, decoded_start, decoded_bytes, plain): blocks of bzip2 objects, decoded in parallel within each object."""
-    marks = marks_in_chunks(objects, column)
-    blocks = decode_candidates(candidate_pairs(marks), objects, column)
+    marks = kept(marks_in_chunks(objects, column))
+    pairs = candidate_pairs(marks)
+    likely = kept(decode_candidates(pairs.withColumn("stops", F.slice("stops", 1, 1)), objects, column))
+    # a mark in the middle of a block's data: the further marks are tried, for these few only
+    open_ = pairs.where("size(stops) > 1").join(likely.select("path", "start_bit"), ["path", "start_bit"], "left_anti")
+    blocks = likely.unionByName(decode_candidates(open_.withColumn("stops", F.slice("stops", 2, 1 << 30)), objects, column))
     chained = accepted(blocks, marks).join(blocks.select("path", "start_bit", "plain"), ["path", "start_bit"])
     chained = chained.withColumn("decoded_bytes", F.octet_length("plain").cast("long"))
     return decoded_offsets(chained, ["path"], ["number"], "decoded_bytes").select("path", "number", "decoded_start", "decoded_bytes", "plain")

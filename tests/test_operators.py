@@ -106,12 +106,12 @@ def test_names(spark):
         "a.tar.gz": ("gzip", "tar.gzip", "a.tar", True, True), "b.TBZ2": ("bzip2", "tar.bzip2", "b.tar", True, True), "c.tgz": ("gzip", "tar.gzip", "c.tar", True, True), "d.lz4": ("lz4", "lz4", "d", False, False),
         "e.zip": ("zip", "zip", "e.zip.out", False, True), "f.txt": (None, None, "f.txt.out", False, False), "dir.gz/g": (None, None, "dir.gz/g.out", False, False), "h.tar.lz4": ("lz4", "tar.lz4", "h.tar", True, True),
     }
-    sizes = spark.createDataFrame([(x,) for x in ("7", "1k", "2KiB", "3mb", "x", "9999999999999t")], "s string").select(detect.parse_size(F.col("s"))).collect()
-    assert [r[0] for r in sizes] == [7, 1024, 2048, 3 << 20, None, None]
+    sizes = spark.createDataFrame([(x,) for x in ("7", "1k", "2KiB", "3mb", "x", "9999999999999t", "5ib", "5bb", "5bib", " 5", "5 ", "8b", "kb")], "s string").select(detect.parse_size(F.col("s"))).collect()
+    assert [r[0] for r in sizes] == [7, 1024, 2048, 3 << 20, *[None] * 7, 8, None]
     shown = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 40,)], "n long").select(detect.format_bytes(F.col("n"))).collect()
     assert [r[0] for r in shown] == ["0 B", "1023 B", "1.5 KiB", "5.0 TiB"]
-    lasted = spark.createDataFrame([(1.6,), (61.0,), (7260.0,)], "s double").select(detect.format_duration(F.col("s"))).collect()
-    assert [r[0] for r in lasted] == ["2s", "1m 1s", "2h 1m"]
+    lasted = spark.createDataFrame([(1.6,), (61.0,), (125.0,), (7500.0,), (-3.0,)], "s double").select(detect.format_duration(F.col("s"))).collect()
+    assert [r[0] for r in lasted] == ["2s", "1m01s", "2m05s", "2h05m", "0s"]
     assert detect.format_argument("auto") is None and detect.chosen_format("gzip", None) == "gzip"
     for wrong in (lambda: detect.format_argument("zip"), lambda: detect.chosen_format("gzip", "lz4"), lambda: detect.chosen_format(None, None)):
         with pytest.raises(ValueError):
@@ -227,6 +227,10 @@ def test_transforms(spark):
     chain = spark.createDataFrame([("p", 0, 10), ("p", 10, 25), ("p", 12, 30), ("p", 25, 40)], "path string, start_bit int, end_bit int")
     starts = spark.createDataFrame([("p", 0)], "path string, start_bit int")
     assert [r["start_bit"] for r in relational.chain(chain, starts).orderBy("number").collect()] == [0, 10, 25]
+    long = spark.range(5000).select(F.lit("l").alias("path"), (7 * F.col("id")).alias("start_bit"), (7 * F.col("id") + 7).alias("end_bit"))
+    first = spark.createDataFrame([("l", 0)], "path string, start_bit long")
+    walked = relational.chain(long.where("start_bit <> 7 * 4000"), first).agg(F.count("*"), F.max("number"), F.max("end_bit")).first()
+    assert tuple(walked) == (4000, 3999, 28000)
     assert [r["start_bit"] for r in relational.chain_by_lag(chain.where("start_bit <> 12")).orderBy("start_bit").collect()] == [0, 10, 25]
 
 
