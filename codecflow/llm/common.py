@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import discard, kept  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch that carries whole texts.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,34 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Texts may be long, so batches that cross into Python hold few rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where none is set, a temporary one."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codecflow-checkpoint-"))
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._codecflow_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that checkpointed() wrote and that nothing reads any more."""
-    for df in tables:
-        jvm, path = df.sparkSession._jvm, df._codecflow_path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """df written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing.
+
+    Its shuffle files go as soon as the table is written.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return kept(df)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def documents(docs: DataFrame) -> DataFrame:

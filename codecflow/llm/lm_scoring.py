@@ -1,468 +1,389 @@
-"""Scores of a backoff language model, whose counts are gathered over all training texts.
+"""Scores of a weighted backoff automaton, whose counts are gathered over all training texts.
 
-Every word and n-gram that comes LEAST_COUNT times is in the model, however many there are. N-grams are smoothed by
-absolute discounting: a kept n-gram is an arc, a context a state, and what a context leaves goes over its failure arc to the
-context without its first word. Every other word is reached from the empty context with its own add-one probability.
+Every word, and every n-gram up to trigrams that comes LEAST_COUNT times, is in the model, however many there are: nothing
+is capped, so the model grows with the corpus. N-grams are smoothed by interpolated absolute discounting. An n-gram that is
+kept is an arc from the state of its context; what a context leaves is the weight of its failure arc, which leads to the
+context without its first word. From the empty context every word has an arc with its add-one probability.
 
-What an automaton adds to a text falls apart into sums: each word gives its own probability and its failure arc, each kept
-n-gram gives its probability over that of its suffix, less the failure arc that it spares, and its own failure arc. So the
-model is a table (h, value) of words and n-grams by hash. Its most frequent rows, of which there is a bound, are
-broadcast; all others are joined with the words and n-grams of the texts. fit() and Automaton walk the same model in the
-memory of one machine: they are for small corpora, and are what the tests hold the sums against.
+No machine holds the model. N-grams are counted in buckets by their context, and lie afterwards in buckets by their own
+hash, as sorted arrays. The texts are dealt into blocks. Each block asks every bucket once for the words and n-grams that
+it has, and gets the part of the automaton that its texts can reach; then one traversal from left to right scores them:
+the state of a place is the longest context there that has arcs, and failure arcs are taken until one matches.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_of_id, documents, small_batches, table
+from .common import checkpointed, crc32_of_id, discard, documents, small_batches, table
+from .words import Hasher, Index, distinct, mixed
 
 FOLDS, HELD = 7, 2
 ORDER = 3
-#: From 1 / so many of all training tokens on, a word and an n-gram are broadcast instead of joined: so there are at most
-#: as many. MODEL_WORDS and ARCS also bound the automaton that fit() makes in memory.
-BROADCAST_WORDS, MODEL_WORDS, ARCS = 1 << 21, 1 << 16, 1 << 18
 LEAST_COUNT = 2
 DISCOUNT = 0.75
-_RARE = 1 << 63
-_SHIFT = 17
+#: Tokens whose n-grams make up a bucket, and a block of texts.
+BUCKET, BLOCK = 1 << 21, 1 << 22
+#: A context with this fraction of all tokens (there are at most as many) has its n-grams dealt over all buckets.
+HOT = 4096
+#: Bits of the bitmap of kept n-grams: what it rules out is surely not kept, all else is looked up. Beyond four n-grams a bit
+#: it would rule out little and is not made.
+MARK_BITS, _RANGE_BITS = 1 << 27, 1 << 23
+#: Tokens that a task gathers before it passes on their counts.
 _FLUSH = 1 << 22
-_KEPT_WORDS = 300_000
-#: Bits of the bitmap of kept n-grams: what it rules out is surely not kept; what it does not is looked up.
-MARK_BITS = 1 << 27
-#: The hash of what stands before a text; words have a top bit, n-grams have none.
-_START = 1
-#: The end of a text as a token; no word has spaces.
-_END = b" end"
-
-
-def word_hash(word: bytes) -> int:
-    """63 bits of hash below a top bit that no id has."""
-    return xxhash.xxh3_64_intdigest(word) | _RARE
-
-
-class Words:
-    """Words of texts as ids of broadcast words (from their sorted hashes), or as hashes where a word has none."""
-
-    def __init__(self, hashes: np.ndarray | None = None):
-        h = np.zeros(0, np.uint64) if hashes is None else hashes.view(np.uint64)
-        by = np.argsort(h)
-        self.hashes, self.ids, self.known = h[by], by + 1, {}
-        self.end = self.look_up([_END])[0]
-
-    def look_up(self, words: list[bytes]) -> list[int]:
-        h = np.array([word_hash(w) for w in words], np.uint64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            h = np.where(self.hashes[at] == h, self.ids[at].astype(np.uint64), h)
-        return h.tolist()
-
-    def of(self, text: str | None) -> list[int]:
-        # bytes.lower() changes A-Z only and bytes.split() splits at \x20 and \x09-\x0D
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        known = self.known
-        out = [known.get(w) for w in words]
-        if None in out:
-            if len(known) > _KEPT_WORDS:
-                known.clear()
-            new = [i for i, k in enumerate(out) if k is None]
-            for i, k in zip(new, self.look_up([words[i] for i in new])):
-                out[i] = known[words[i]] = k
-        out.append(self.end)
-        return out
-
-
-@dataclass
-class Model:
-    """Words by falling count (ids from 1), and the automaton over the first `own` of them; state 0 is the empty context."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    own: int
-    tokens: int
-    kinds: int
-    levels: list[tuple[np.ndarray, np.ndarray, int]] = field(default_factory=list)  # keys, counts, first state
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    @property
-    def start(self) -> int:
-        return self.own + 1
-
-    @property
-    def states(self) -> int:
-        return self.own + 2 + sum(len(k) for k, _, _ in self.levels)
-
-    def grams(self, w: np.ndarray, upto: int) -> np.ndarray:
-        """The state of the n-gram of order `upto` that ends at each place of w, 0 where it is not kept.
-
-        w has model words, 0 for others and `start` before each text.
-        """
-        state = w
-        target = np.where(w < self.start, w, 0)
-        for keys, _, first in self.levels[: upto - 1]:
-            key = np.r_[0, state[:-1]] << _SHIFT | target
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = (keys[at] == key) & (target > 0) if len(keys) else np.zeros(len(w), bool)
-            state = np.where(hit, at + first, 0)
-        return state
-
-    def automaton(self) -> Automaton:
-        """Arcs, failure arcs and their weights (log10), level by level: a kept n-gram's suffix is kept too."""
-        log_all = np.log10(self.tokens + self.kinds + 1)
-        n = self.states
-        fail, left = np.zeros(n, np.int64), np.zeros(n)
-        context = np.zeros(n)
-        own = np.arange(1, self.own + 1)
-        context[own] = self.counts[: self.own]
-        end = np.flatnonzero(self.hashes.view(np.uint64) == np.uint64(word_hash(_END)))
-        context[self.start] = self.counts[end[0]] if len(end) else 0
-        keys, p, follow = own.astype(np.int64), (self.counts[: self.own] + 1) / (self.tokens + self.kinds + 1), own.astype(np.int64)
-        all_keys, all_p, all_next = [keys], [p], [follow]
-        for level, (k, c, first) in enumerate(self.levels):
-            s, w = k >> _SHIFT, k & ((1 << _SHIFT) - 1)
-            prob = (c - DISCOUNT) / np.maximum(context[s], c)
-            suffix = np.searchsorted(keys, fail[s] << _SHIFT | w)
-            taken = np.bincount(s, weights=prob, minlength=n)
-            lower = np.bincount(s, weights=p[suffix], minlength=n)
-            has = np.bincount(s, minlength=n) > 0
-            left[has] = np.log10(np.maximum(1 - taken[has], 1e-12) / np.maximum(1 - lower[has], 1e-12))
-            mine = np.arange(first, first + len(k))
-            fail[mine], context[mine] = follow[suffix], c
-            keys, p, follow = k, prob, mine if level < len(self.levels) - 1 else follow[suffix]
-            all_keys.append(keys), all_p.append(p), all_next.append(follow)
-        return Automaton(np.concatenate(all_keys), np.log10(np.concatenate(all_p)), np.concatenate(all_next), fail, left, float(log_all))
-
-
-class Automaton:
-    def __init__(self, keys, logs, follow, fail, left, log_all: float):
-        self.arcs = dict(zip(keys.tolist(), zip(logs.tolist(), follow.tolist())))
-        self.fail, self.left, self.log_all = fail.tolist(), left.tolist(), log_all
-        self.fall = []  # weight of all failure arcs down to the empty context
-        for s in range(len(self.fail)):
-            total, at = 0.0, s
-            while at:
-                total += self.left[at]
-                at = self.fail[at]
-            self.fall.append(total)
-
-    def walk(self, ids: list[int], own: int) -> float:
-        """log10 of the probability that model words add, with all failure arcs taken; other words reach the empty state."""
-        arcs, fail, left, fall = self.arcs.get, self.fail, self.left, self.fall
-        total, s = 0.0, own + 1
-        for w in ids:
-            if w > own:
-                total += fall[s]
-                s = 0
-                continue
-            arc = arcs(s << _SHIFT | w)
-            while arc is None:
-                total += left[s]
-                s = fail[s]
-                arc = arcs(s << _SHIFT | w)
-            total += arc[0]
-            s = arc[1]
-        return total
+#: Keys of what stands before a text, and of its end as a token.
+_START, _END = np.uint64(1), np.uint64(2)
 
+MODEL = "bucket long, keys binary, c binary, k binary, s binary, n long, total long"
 
-_made: dict[str, dict] = {}
 
+def tokens(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all tokens, tokens in each text): the words of each text, then its end."""
+    h, n = hasher.of(texts)
+    return np.insert(h, np.cumsum(n), _END), n + 1
 
-def kept(model: Model, make, *args):
-    """What make(*args) gave before in this Python worker for the same model."""
-    if model.name not in _made:
-        _made.clear()
-        _made[model.name] = {}
-    mine = _made[model.name]
-    if make.__name__ not in mine:
-        mine[make.__name__] = make(*args)
-    return mine[make.__name__]
 
+def gram(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their context and of their last n - 1 tokens."""
+    with np.errstate(over="ignore"):
+        return mixed(context * np.uint64(0x9E3779B97F4A7C15) + suffix)
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c) of all tokens of docs(text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(), []
+def grams(w: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(keys, contexts, place): keys[k - 1] of the n-grams of order k that end at each token, contexts[k - 2] of those from
+    order 2 on, and each token's place in its text. An n-gram of order k exists from place k - 2 on."""
+    starts = np.cumsum(n) - n
+    place = np.arange(len(w)) - np.repeat(starts, n)
+    before = np.r_[_START, w[:-1]][: len(w)]
+    before[starts] = _START
+    keys, contexts = [w, gram(before, w)], [before]
+    for _ in range(3, ORDER + 1):
+        contexts.append(np.r_[_START, keys[-1][:-1]][: len(w)])
+        keys.append(gram(contexts[-1], keys[-1]))
+    return keys, contexts, place
 
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.array(held, np.uint64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held += words.of(t)
-            if len(held) > _FLUSH:
-                yield flush()
-                held = []
-        if held:
-            yield flush()
+def is_marked(bitmap: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+    if bitmap is None:
+        return np.ones(len(key), bool)
+    at = key & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def array(x, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(x, kind) if x is not None else np.zeros(0, kind)
 
-def count_grams(docs: DataFrame, sent, order: int) -> DataFrame:
-    """(key, c) of the n-grams of this order of model words whose first n - 1 words are a kept n-gram."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        words, held, size = kept(model, Words, model.hashes), [], 0
+def joined(parts: list, kind=np.uint64) -> np.ndarray:
+    """One array of the binary values of an Arrow column or of a list."""
+    return np.concatenate([np.zeros(0, kind), *(array(x, kind) for x in parts)])
 
-        def flush() -> pa.RecordBatch:
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
 
-        for b in batches:
-            ids: list[int] = []
-            starts: list[int] = []
-            for t in b.column(0).to_pylist():
-                starts.append(len(ids))
-                ids.append(0)
-                ids += words.of(t)
-            w = np.array(ids, np.uint64)
-            w = np.where(w <= model.own, w, 0).astype(np.int64)
-            target = w.copy()
-            w[starts] = model.start
-            before = np.r_[0, model.grams(w, order - 1)[:-1]]
-            live = (before > 0) & (target > 0)
-            held.append(before[live] << _SHIFT | target[live])
-            size += len(held[-1])
-            if size > _FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, an index of each in key, and the sums of the columns over each."""
+    by = np.argsort(key)
+    k = key[by]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return k[at], by[at], *(np.add.reduceat(c[by], at) if len(at) else c[:0] for c in columns)
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def at_least(tokens: int, most: int) -> int:
-    return max(LEAST_COUNT, -(-tokens // most))
-
-
-def fit(training: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The model of training(text), and the counts (h, c) of all words."""
-    spark = training.sparkSession
-    words = checkpointed(count_words(training))
-    tokens, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = words.where(F.col("c") >= max(1, -(-tokens // BROADCAST_WORDS))).toArrow()
-    h, c = frequent.column("h").to_numpy(), frequent.column("c").to_numpy()
-    by = np.lexsort((h, -c))
-    own = int((c >= at_least(tokens, MODEL_WORDS)).sum())
-    model = Model(h[by], c[by], own, int(tokens), int(kinds))
-    for k in range(2, order + 1):
-        sent = spark.sparkContext.broadcast(model)
-        kept = count_grams(training, sent, k).where(F.col("c") >= at_least(tokens, ARCS)).toArrow()
-        key, n = kept.column("key").to_numpy(), kept.column("c").to_numpy()
-        by = np.argsort(key)
-        model.levels.append((key[by], n[by], model.states))
-        model.name = uuid.uuid4().hex
-        sent.unpersist()
-    return model, words
-
-
-def mixed(p: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """63 bits of hash of n-grams, from the hashes of their prefixes and suffixes of one word less."""
-    z = p * np.uint64(0x9E3779B97F4A7C15) + s
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))) & np.uint64(_RARE - 1)
-
-
-def hashed(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Hashes of all tokens, where each text starts, and (places, prefixes, suffixes) of the n-grams of order 2 to ORDER."""
-    ids: list[int] = []
-    starts: list[int] = []
-    for t in texts:
-        starts.append(len(ids))
-        ids += words.of(t)
-    w, at = np.array(ids, np.uint64), np.array(starts, np.int64)
-    first = np.zeros(len(w), bool)
-    first[at] = True
-    before = np.r_[np.uint64(_START), w[:-1]]
-    before[at] = _START
-    place = np.arange(len(w))
-    levels = [(place, before, w)]
-    key = mixed(before, w)
-    for _ in range(3, ORDER + 1):
-        # place has all places from some distance to the start of a text on, so the one before is there or is left out
-        live = ~first[place]
-        prefix = np.r_[np.uint64(0), key[:-1]][live]
-        place, suffix = place[live], key[live]
-        levels.append((place, prefix, suffix))
-        key = mixed(prefix, suffix)
-        first = np.r_[False, first[:-1]] | first
-    return w, at, levels
 
+def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(bucket, a slice of each column as bytes) for each bucket that occurs; the order within a bucket is kept."""
+    if len(bucket) and bucket.max() < 1 << 15:
+        bucket = bucket.astype(np.int16)  # sorted by radix
+    by = np.argsort(bucket, kind="stable")
+    b, columns = bucket[by], [c[by] for c in columns]
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    for lo, hi in zip(at, [*at[1:], len(b)]):
+        yield int(b[lo]), *(c[lo:hi].tobytes() for c in columns)
 
-def count_pairs(docs: DataFrame, order: int, marked) -> DataFrame:
-    """(p, s, c) of the n-grams of this order as pairs of prefix and suffix, both of which `marked` may have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int64(), "block": pa.int64(), "n": pa.int64(), "total": pa.int64(), "kind": pa.int32()}
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.binary())) for x, c in zip(names, columns)], names)
+
+
+def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int) -> DataFrame:
+    """Model rows of the n-grams of this order in docs(text) that come `least` times: their counts c by their own bucket, and
+    for each context the number k and the sum s of its kept n-grams, by the context's bucket."""
+    wide = np.uint64(buckets)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(), [], 0
+        bitmap, often = marked and marked.value, Index(hot.value if hot else np.zeros(0, np.uint64))
 
         def flush() -> pa.RecordBatch:
-            p, s = (np.concatenate(x) for x in zip(*held))
-            _, at, c = np.unique(mixed(p, s), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(p[at].view(np.int64)), pa.array(s[at].view(np.int64)), pa.array(c)], ["p", "s", "c"])
+            context, key = (np.concatenate(x) for x in zip(*held))
+            k, first, c = summed(key, np.ones(len(key), np.int64))
+            p = context[first]
+            bucket = p % wide
+            spread = often.places(p) < len(often)
+            bucket[spread] = k[spread] % wide
+            by = np.argsort(p)  # equal contexts side by side take little room when compressed
+            columns = [k[by], c[by], p[by]][: 2 + (order > 1)]
+            return batch([(*x, None)[:4] for x in dealt(bucket[by].astype(np.int64), *columns)], ["bucket", "keys", "c", "p"])
 
         for b in batches:
-            _, p, s = hashed(words, b.column(0).to_pylist())[2][order - 2]
-            if marked is not None:
-                live = is_marked(marked.value, p) & is_marked(marked.value, s)
-                p, s = p[live], s[live]
-            held.append((p, s))
-            size += len(p)
+            w, n = tokens(hasher, b.column(0))
+            keys, contexts, place = grams(w, n)
+            if order == 1:
+                held.append((w, w))
+            else:
+                p, suffix = contexts[order - 2], keys[order - 2]
+                live = (place >= order - 2) & is_marked(bitmap, suffix) & (is_marked(bitmap, p) | (p == _START))
+                held.append((p[live], keys[order - 1][live]))
+            size += len(held[-1][0])
             if size > _FLUSH:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "p long, s long, c long").groupBy("p", "s").agg(F.sum("c").alias("c"))
-
-
-def is_marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64(MARK_BITS - 1)
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def settle(t: pa.Table) -> pa.Table:
+        key, c = joined(t.column("keys").to_pylist()), joined(t.column("c").to_pylist(), np.int64)
+        k, first, c = summed(key, c)
+        keep = c >= least
+        k, c, rows = k[keep], c[keep], []
+        for to, a, b in dealt((k % wide).astype(np.int64), k, c):
+            rows.append((to, a, b, None, None, len(a) // 8, int(array(b, np.int64).sum())))
+        if order > 1:
+            p, _, n, s = summed(joined(t.column("p").to_pylist())[first][keep], np.ones(len(k), np.int64), c)
+            rows += [(to, a, None, x, y, 0, 0) for to, a, x, y in dealt((p % wide).astype(np.int64), p, n, s)]
+        return pa.Table.from_batches([batch(rows, [x.split()[0] for x in MODEL.split(", ")])])
 
+    got = docs.select("text").mapInArrow(gather, "bucket long, keys binary, c binary, p binary")
+    return checkpointed(got.groupBy("bucket").applyInArrow(settle, MODEL))
 
-def marks(keys: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of keys(h) by their last bits."""
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    return out.view(np.uint64)
 
-
-def with_hash(pairs: DataFrame) -> DataFrame:
-    """(p, s, c) -> (p, s, c, h)."""
+def frequent(model: DataFrame, most: int) -> np.ndarray:
+    """Keys with a count of 1 / HOT of all tokens, and what stands before a text, ascending: HOT + 1 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, s = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mixed(p, s).view(np.int64))], ["p", "s", "c", "h"])
-
-    return pairs.select("p", "s", "c").mapInArrow(run, "p long, s long, c long, h long")
-
+            for keys, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield batch([(array(keys)[array(c, np.int64) >= most].tobytes(),)], ["keys"])
 
-@dataclass
-class Table:
-    """The model as rows (h, base, value, known, c), those of words with known = 1, and what is broadcast of it."""
+    found = model.where("c is not null").select("keys", "c").mapInArrow(run, "keys binary").where(F.octet_length("keys") > 0).toArrow()
+    return distinct(np.r_[_START, joined(found.column(0).to_pylist())])
 
-    rows: DataFrame
-    tokens: int
-    kinds: int
-    start: float  # the failure arc before a text
 
-    @property
-    def log_all(self) -> float:
-        return float(np.log10(self.tokens + self.kinds + 1))
+def marks(model: DataFrame) -> np.ndarray | None:
+    """The bitmap of keys that are kept, by their last bits; None where too many are for it to be of use."""
+    if (model.agg(F.sum("n")).first()[0] or 0) > 4 * MARK_BITS:
+        return None
 
-    def often(self):
-        least = F.when(F.col("known") == 1, max(1, -(-self.tokens // BROADCAST_WORDS))).otherwise(max(1, -(-self.tokens // ARCS)))
-        return F.col("c") >= least
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = np.sort((array(keys)[array(c, np.int64) >= LEAST_COUNT] & np.uint64(MARK_BITS - 1)).astype(np.uint32))
+                yield batch(list(dealt((at // _RANGE_BITS).astype(np.int64), at % np.uint32(_RANGE_BITS))), ["bucket", "at"])
+
+    def settle(t: pa.Table) -> pa.Table:
+        bits = np.zeros(_RANGE_BITS, bool)
+        for x in t.column("at").to_pylist():
+            bits[array(x, np.uint32)] = True
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    placed = model.where("c is not null").select("keys", "c").mapInArrow(place, "bucket long, at binary")
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in placed.groupBy("bucket").applyInArrow(settle, "bucket long, bits binary").toLocalIterator():
+        out[r["bucket"] * (_RANGE_BITS // 8) :][: _RANGE_BITS // 8] = array(r["bits"], np.uint8)
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(value, batches of its rows) of sorted rows; what is left of a value's batches is read before the next one."""
+    waiting: list[pa.RecordBatch] = []
+
+    def rows(value: int) -> Iterator[pa.RecordBatch]:
+        while True:
+            b = waiting.pop() if waiting else next(batches, None)
+            if b is None:
+                return
+            if not b.num_rows:
+                continue
+            n = int(np.searchsorted(b.column(at).to_numpy(), value, "right"))
+            if n < b.num_rows:
+                waiting.append(b.slice(n))
+            if n:
+                yield b.slice(0, n)
+            if n < b.num_rows:
+                return
+
+    while True:
+        b = waiting.pop() if waiting else next(batches, None)
+        if b is None:
+            return
+        if not b.num_rows:
+            continue
+        at = b.schema.get_field_index(by)
+        waiting.append(b)
+        value = b.column(at)[0].as_py()
+        mine = rows(value)
+        yield value, mine
+        for _ in mine:
+            pass
+
+
+def asked(texts: DataFrame, buckets: int, marked) -> DataFrame:
+    """(bucket, block, keys) of the words and n-grams that each block of texts(block, text) has."""
+    wide = np.uint64(buckets)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for block, mine in grouped(batches, "block"):
+            held = [np.array([_START])]
+            for b in mine:
+                keys, _, place = grams(*tokens(hasher, b.column(1)))
+                held.append(distinct(keys[0]))
+                for k in range(2, ORDER + 1):
+                    bitmap = marked[k - 2] and marked[k - 2].value
+                    of = keys[k - 1][place >= k - 2]
+                    held.append(distinct(of[is_marked(bitmap, of)]))
+                if sum(map(len, held)) > 2 * _FLUSH:
+                    held = [distinct(np.concatenate(held))]
+            every = distinct(np.concatenate(held))
+            yield batch([(to, block, k) for to, k in dealt((every % wide).astype(np.int64), every)], ["bucket", "block", "keys"])
+
+    dealt_out = texts.select("block", "text").repartition("block").sortWithinPartitions("block")
+    return dealt_out.mapInArrow(run, "bucket long, block long, keys binary")
+
+
+def answers(models: list[DataFrame], requests: DataFrame) -> DataFrame:
+    """(block, keys, c, k, s): what the model has of the keys that a block asks a bucket for."""
+    names = ["block", "keys", "c", "k", "s"]
 
-def table_of(training: DataFrame) -> Table:
-    """The model of training(text), all of it distributed."""
-    sc = training.sparkSession.sparkContext
-    words = checkpointed(count_words(training))
-    end = int(np.uint64(word_hash(_END)).astype(np.int64))
-    tokens, kinds, texts = (int(x) for x in words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("c"))), F.lit(0))).first())
-    lower = words.where(F.col("c") >= LEAST_COUNT).select("h", "c", ((F.col("c") + 1) / (tokens + kinds + 1)).alias("prob"))
-    lower = lower.unionAll(training.sparkSession.createDataFrame([(_START, texts, None)], lower.schema))
-    arcs, lefts, marked = [], [], None
-    for order in range(2, ORDER + 1):
-        # counts of LEAST_COUNT reach prefix and suffix too, so that these are kept
-        pairs = with_hash(count_pairs(training, order, marked).where(F.col("c") >= LEAST_COUNT))
-        known = lower.select(F.col("h").alias("s"), F.col("prob").alias("lower"))
-        context = lower.select(F.col("h").alias("p"), F.col("c").alias("context"))
-        both = pairs.join(known, "s").join(context, "p")
-        mine = checkpointed(both.select("p", "h", "c", ((F.col("c") - DISCOUNT) / F.greatest("context", "c")).alias("prob"), "lower"))
-        rest = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
-        lefts.append(checkpointed(mine.groupBy("p").agg(F.log10(rest("prob") / rest("lower")).alias("left"))))
-        arcs.append(mine)
-        lower = mine.select("h", "c", "prob")
-        if order < ORDER:
-            marked = sc.broadcast(marks(lower.select("h"), MARK_BITS))
-    own = lambda k: lefts[k].select(F.col("p").alias("h"), F.col("left").alias("own"))
-    with_own = lambda df, k: df.join(own(k), "h", "left") if k < len(lefts) else df.withColumn("own", F.lit(None).cast("double"))
-    more, log = F.coalesce("own", F.lit(0.0)), F.log10(F.col("c") + 1)
-    rows = with_own(words, 0).select("h", log.alias("base"), (log + more).alias("value"), F.lit(1).alias("known"), "c")
-    for k, mine in enumerate(arcs):
-        gain = F.log10(F.col("prob")) - F.log10(F.col("lower")) - F.col("left") + more
-        rows = rows.unionAll(with_own(mine.join(lefts[k], "p"), k + 1).select("h", F.lit(0.0).alias("base"), gain.alias("value"), F.lit(0).alias("known"), "c"))
-    first = lefts[0].where(F.col("p") == _START).first()
-    return Table(checkpointed(rows), tokens, kinds, first["left"] if first else 0.0)
-
-
-def walk_texts(docs: DataFrame, model: Table) -> DataFrame:
-    """docs(doc_id, text, held_out) -> what the broadcast rows give each row, and hashes of its other words and n-grams."""
-    frequent = model.rows.where(model.often()).toArrow()  # BROADCAST_WORDS words, ARCS n-grams of each order at most
-    h = frequent.column("h").to_numpy().view(np.uint64)
-    by = np.argsort(h)
-    columns = [frequent.column(c).to_numpy()[by] for c in ("base", "value", "known")]
-    rare_grams = model.rows.where(~model.often() & (F.col("known") == 0)).select("h")
-    sent = docs.sparkSession.sparkContext.broadcast((h[by], *columns, marks(rare_grams, MARK_BITS)))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    log_all, start = model.log_all, model.start
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, mine in grouped(batches, "bucket"):
+            held: list[list] | None = [[], [], [], []]
+            for b in mine:
+                for kind, block, *columns in zip(*(x.to_pylist() for x in b.columns[1:])):
+                    if kind == 0:
+                        zeros = bytes(len(columns[0]))
+                        for x, v in zip(held, columns):
+                            x.append(zeros if v is None else v)
+                        continue
+                    if held is not None:
+                        key, _, *stats = summed(joined(held[0]), *(joined(x, np.int64) for x in held[1:]))
+                        held = None
+                    if not len(key):
+                        continue
+                    q = array(columns[0])
+                    at = np.minimum(np.searchsorted(key, q), len(key) - 1)
+                    hit = key[at] == q
+                    yield batch([(block, q[hit].tobytes(), *(x[at[hit]].tobytes() for x in stats))], names)
+
+    none = F.lit(None).cast("binary")
+    both = requests.select("bucket", F.lit(1).alias("kind"), "block", "keys", none.alias("c"), none.alias("k"), none.alias("s"))
+    for m in models:
+        both = both.unionAll(m.select("bucket", F.lit(0), F.lit(-1).cast("long"), "keys", "c", "k", "s"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "block long, keys binary, c binary, k binary, s binary")
+
+
+class Part:
+    """The part of the automaton that a block of texts can reach: key -> count, and number and sum of the arcs kept there."""
+
+    def __init__(self, keys: np.ndarray, c: np.ndarray, k: np.ndarray, s: np.ndarray, train: int, kinds: int, texts: int):
+        by = np.argsort(keys)
+        self.index, self.stats = Index(keys[by]), [np.r_[x[by], 0] for x in (c, k, s)]
+        self.all = train + kinds + 1
+        _, k, s = (int(x[0]) for x in self.look_up(np.array([_START])))
+        self.start = texts, k, s
+
+    def look_up(self, q: np.ndarray) -> list[np.ndarray]:
+        at = self.index.places(q)
+        return [x[at] for x in self.stats]
+
+    def walk(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each token, its probability) along the texts.
+
+        All places go at once, from the empty context up: where the context of the next order has arcs, its arc is taken if
+        it has one for the token, and else its failure arc, whose weight multiplies what the shorter context gives.
+        """
+        keys, _, place = grams(w, n)
+        here = self.look_up(keys[0])
+        count = here[0]
+        p = (count + 1) / self.all
+        for k in range(2, ORDER + 1):
+            of, arcs, sums = (np.r_[0, x[:-1]][: len(w)] for x in here)  # of the context, which ends a place before
+            if k == 2:
+                for x, v in zip((of, arcs, sums), self.start):
+                    x[place == 0] = v
+            live = (arcs > 0) & (place >= k - 2)
+            here = self.look_up(keys[k - 1])
+            total = np.maximum(of, 1).astype(float)
+            failure = (of - sums + DISCOUNT * arcs) / total
+            arc = np.where(here[0] > 0, (here[0] - DISCOUNT) / total, 0.0)
+            p = np.where(live, arc + failure * p, p)
+        return count, p
+
+
+def scored(texts: DataFrame, parts: DataFrame, train: int, kinds: int, starts: int) -> DataFrame:
+    """texts(block, doc_id, held_out, text), parts(block, keys, c, k, s) -> a row for each text."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    all_ = math.log10(train + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base_of, value_of, known_of, bitmap = sent.value
-        words = Words()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w, at, levels = hashed(words, b.column(1).to_pylist())
-            n = np.diff(np.r_[at, len(w)])
-            text = np.repeat(np.arange(len(at)), n)
-            grams = [mixed(p, s) for _, p, s in levels]
-            all_h = np.concatenate([w, *grams])
-            owner = np.concatenate([text, *(text[place] for place, _, _ in levels)])
-            if len(keys):
-                found = np.minimum(np.searchsorted(keys, all_h), len(keys) - 1)
-                hit = keys[found] == all_h
-            else:
-                found, hit = np.zeros(len(all_h), np.int64), np.zeros(len(all_h), bool)
-            mine, of = found[hit], owner[hit]
-            total = lambda x: np.bincount(of, weights=x[mine], minlength=len(at))
-            base, value, known = total(base_of), total(value_of), total(known_of)
-            other = ~hit
-            other[len(w) :] &= is_marked(bitmap, all_h[len(w) :])
-            rare, of_rare = all_h[other], owner[other]
-            by = np.argsort(of_rare, kind="stable")
-            ends = np.r_[0, np.cumsum(np.bincount(of_rare, minlength=len(at)))]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare[by].view(np.int64)))
-            made = (n.astype(np.int64), known.astype(np.int64), base - n * log_all, value + start - n * log_all)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x) for x in made), lists], names)
-
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+        hasher = Hasher()
+        for _, mine in grouped(batches, "block"):
+            held: list[list] | None = [[], [], [], []]
+            for b in mine:
+                is_text = b.column(1).to_numpy() == 1
+                at = int(np.argmax(is_text)) if is_text.any() else b.num_rows
+                for row in zip(*(x.slice(0, at).to_pylist() for x in b.columns[5:])):
+                    for x, v in zip(held, row):
+                        x.append(v)
+                b = b.slice(at)
+                if not b.num_rows:
+                    continue
+                if held is not None:
+                    part, held = Part(joined(held[0]), *(joined(x, np.int64) for x in held[1:]), train, kinds, starts), None
+                w, n = tokens(hasher, b.column(4))
+                c, p = part.walk(w, n)
+                of = np.cumsum(n) - n  # every text has a token
+                sums = (np.add.reduceat(x, of) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0) - all_, np.log10(p)))
+                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(n), *(pa.array(x) for x in sums)], names)
+
+    none = F.lit(None).cast("binary")
+    rows = texts.select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "text", *(none.alias(x) for x in ("keys", "c", "k", "s")))
+    rows = rows.unionAll(parts.select("block", F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("boolean"), F.lit(None).cast("string"), "keys", "c", "k", "s"))
+    dealt_out = rows.repartition("block").sortWithinPartitions("block", "kind")
+    return dealt_out.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null or empty text is the end alone. The fold of a null doc_id is that of an empty text; repeated rows count and
-    score each for themselves. Words and n-grams are told apart by 63-bit hashes. Without training texts every word is
-    unknown.
+    score each for themselves. Words and n-grams are told apart by 64-bit hashes. Without training texts every word is
+    unknown and has the probability 1.
     """
     docs = documents(docs).withColumn("held_out", F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD)
-    model = table_of(docs.where(~F.col("held_out")))
-    walked = checkpointed(walk_texts(docs, model).withColumn("rid", F.monotonically_increasing_id()))
-    rare = walked.select("rid", F.explode("rare").alias("h")).join(model.rows.where(~model.often()).drop("c"), "h")
-    more = rare.groupBy("rid").agg(F.sum("known").alias("n_more"), F.sum("base").alias("more_base"), F.sum("value").alias("more_score"))
-    got = walked.drop("rare").withColumnRenamed("base", "own_base").withColumnRenamed("score", "own_score").join(more, "rid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
-    return got.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n_more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("own_base", "more_base").alias("base_score"), plus("own_score", "more_score").alias("score"))
+    size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    buckets, blocks = (max(1, -(-size // (7 * most))) for most in (BUCKET, BLOCK))  # a word and its space have about 7 bytes
+    training = docs.where(~F.col("held_out"))
+    send: Callable = docs.sparkSession.sparkContext.broadcast
+    models = [counted(training, 1, buckets, None, None, 1)]
+    train, kinds = (int(x or 0) for x in models[0].agg(F.sum("total"), F.sum("n")).first())
+    marked = []
+    for order in range(2, ORDER + 1):
+        known, hot = send(marks(models[-1])), send(frequent(models[-1], max(1, train // HOT)))
+        models.append(counted(training, order, buckets, known, hot, LEAST_COUNT))
+        marked += [known] if order > 2 else []
+    marked.append(send(marks(models[-1])))
+    texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    requests = checkpointed(asked(texts, buckets, marked))
+    parts = checkpointed(answers(models, requests))
+    discard(*models, requests)
+    got = scored(texts, parts, train, kinds, int(starts))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from codecflow.llm import chat, lm_scoring, packing, quality_classifier, quality_rules, sentencepieces, sharding
+from codecflow.llm import chat, lm_scoring, packing, quality_classifier, quality_rules, sentencepieces, sharding, words
 from codecflow.llm.common import gapless, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,10 +334,12 @@ def lm_rows():
     return [(i, text()) for i in range(220)] + ROWS
 
 
-@pytest.mark.parametrize("broadcast", [1 << 21, 40])
-def test_base_scores(spark, broadcast, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BROADCAST_WORDS", broadcast)
-    monkeypatch.setattr(lm_scoring, "MODEL_WORDS", min(broadcast, 1 << 16))
+def small_model(monkeypatch, bucket, block, hot=4096, marks=1 << 27):
+    for name, value in (("BUCKET", bucket), ("BLOCK", block), ("HOT", hot), ("MARK_BITS", marks), ("_RANGE_BITS", marks // 16), ("_FLUSH", 50 if bucket < 100 else 1 << 22)):
+        monkeypatch.setattr(lm_scoring, name, value)
+
+
+def test_base_scores(spark):
     rows = lm_rows()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -349,30 +352,8 @@ def test_base_scores(spark, broadcast, monkeypatch):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_the_automaton_is_a_distribution(spark):
-    df = docs(spark, lm_rows()).select("text")
-    model, words = lm_scoring.fit(df, 3)
-    assert len(model.levels) == 2 and all(len(k) for k, _, _ in model.levels)
-    a = model.automaton()
-    everything = words.collect()
-    p_one = lambda c: (c + 1) / (model.tokens + model.kinds + 1)
-    assert math.isclose(sum(p_one(r["c"]) for r in everything) + p_one(0), 1)
-    by_id = np.r_[0, model.counts]
-    rest = 1 - sum(p_one(c) for c in model.counts[: model.own])
-    for s in range(0, model.states, 7):
-        total = 10 ** a.fall[s] * rest
-        for w in range(1, model.own + 1):
-            at, log = s, 0.0
-            while (arc := a.arcs.get(at << 17 | w)) is None:
-                log += a.left[at]
-                at = a.fail[at]
-            total += 10 ** (log + arc[0])
-        assert math.isclose(total, 1, rel_tol=1e-9), s
-    assert by_id[1] == model.counts.max()
-
-
-def brute_scores(rows, held):
-    """Trigram backoff with every word and n-gram of count 2, straight from the definitions."""
+def brute_model(rows, held):
+    """p(n-gram) and all tokens: trigrams with every word and n-gram of count 2, straight from the definitions."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     grams = [collections.Counter() for _ in range(4)]
     for i, t in rows:
@@ -380,37 +361,66 @@ def brute_scores(rows, held):
             x = ["start", *tokens(t)]
             for n in (1, 2, 3):
                 grams[n].update(tuple(x[k : k + n]) for k in range(len(x) - n + 1))
-    grams[1][("start",)], texts = 0, grams[1][("start",)]
-    total, kinds = sum(grams[1].values()), sum(c > 0 for c in grams[1].values())
+    texts = grams[1].pop(("start",))
+    total, kinds, words = sum(grams[1].values()), len(grams[1]), [g[0] for g in grams[1]]
     grams[1][("start",)] = texts
     follow = collections.defaultdict(list)
     for n in (2, 3):
         for g, c in grams[n].items():
             if c >= 2:
-                follow[g[:-1]].append(g)
+                follow[g[:-1]].append(c)
 
+    @functools.cache
     def p(g):
         if len(g) == 1:
             return (grams[1][g] + 1) / (total + kinds + 1)
-        if grams[len(g)][g] >= 2:
-            return (grams[len(g)][g] - 0.75) / grams[len(g) - 1][g[:-1]]
-        mine = follow[g[:-1]]
-        left = (1 - sum(map(p, mine))) / (1 - sum(p(m[1:]) for m in mine)) if mine else 1.0
-        return left * p(g[1:])
+        mine, of = follow[g[:-1]], grams[len(g) - 1][g[:-1]]
+        if not mine:
+            return p(g[1:])
+        c = grams[len(g)][g]
+        return max(c - 0.75 if c >= 2 else 0, 0) / of + (1 - sum(x - 0.75 for x in mine) / of) * p(g[1:])
+
+    return p, words, tokens
 
-    p = functools.cache(p)
+
+def brute_scores(rows, held):
+    p, _, tokens = brute_model(rows, held)
     scored = lambda x: sum(math.log10(p(tuple(x[max(0, k - 2) : k + 1]))) for k in range(1, len(x)))
     return sorted([(i, round(scored(["start", *tokens(t)]), 6)) for i, t in rows], key=str)
 
 
-@pytest.mark.parametrize("broadcast", [1 << 18, 40, 1])
-def test_scores_know_every_word_and_n_gram(spark, broadcast, monkeypatch):
-    for name in ("BROADCAST_WORDS", "MODEL_WORDS", "ARCS"):
-        monkeypatch.setattr(lm_scoring, name, broadcast)
+def held_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def test_the_model_is_a_distribution():
+    p, words, _ = brute_model(lm_rows(), held_out)
+    for context in (("start",), (b"the",), (b"the", b"of"), ("start", b"and"), (b"w1",), ()):
+        assert math.isclose(sum(p((*context, w)) for w in [*words, "unknown"]), 1), context
+
+
+@pytest.mark.parametrize("sizes", [(1 << 21, 1 << 22), (1 << 21, 100, 4, 64), (50, 100, 4, 1 << 14), (40, 1 << 22, 1, 1 << 10)])
+def test_scores_equal_plain_backoff(spark, sizes, monkeypatch):
+    small_model(monkeypatch, *sizes)
     rows = lm_rows()
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     got = lm_scoring.scores(docs(spark, rows)).collect()
-    assert sorted([(r["doc_id"], round(r["score"], 6)) for r in got], key=str) == brute_scores(rows, held)
+    assert sorted([(r["doc_id"], round(r["score"], 6)) for r in got], key=str) == brute_scores(rows, held_out)
+
+
+def test_words_are_hashed_as_they_are_split(monkeypatch):
+    r = random.Random(3)
+    texts = [*TEXTS, "x" * 5000 + " y", "İ Ünder A\tB"] + ["".join(r.choice("abÄ \tC\n\x1c") for _ in range(r.randint(0, 200))) for _ in range(200)]
+    for size in (7, 64, 1 << 16):
+        monkeypatch.setattr(words, "PIECE", size)
+        h, n = words.Hasher().of(pa.array(["before", *texts]).slice(1))
+        split = [(t or "").encode().lower().split() for t in texts]
+        assert n.tolist() == [len(x) for x in split]
+        of = dict(zip((x for t in split for x in t), h.tolist()))
+        assert [of[x] for t in split for x in t] == h.tolist() and len(set(of.values())) == len(of)
+    keys = words.distinct(h)
+    q = np.r_[keys[::2], np.uint64(5), keys[::3] + np.uint64(1)]
+    want = [int(np.flatnonzero(keys == x)[0]) if x in set(keys.tolist()) else len(keys) for x in q.tolist()]
+    assert words.Index(keys).places(q).tolist() == want and words.Index(keys[:0]).places(q[:2]).tolist() == [0, 0]
 
 
 def test_no_training_text(spark):
