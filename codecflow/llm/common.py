@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -29,18 +30,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing.
-
-    Its shuffle files go as soon as the table is written.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs that run inside go as soon as each job ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return kept(df)
+        yield
     finally:
-        conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to a table in the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
+    with tidy(df.sparkSession):
+        return kept(df)
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_of_id, discard, documents, small_batches, table
+from .common import checkpointed, crc32_of_id, discard, documents, small_batches, table, tidy
 from .words import Hasher, Index, distinct, mixed
 
 FOLDS, HELD = 7, 2
@@ -76,13 +76,20 @@ def is_marked(bitmap: np.ndarray | None, key: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
-def array(x, kind=np.uint64) -> np.ndarray:
-    return np.frombuffer(x, kind) if x is not None else np.zeros(0, kind)
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """64-bit numbers as eight planes of bytes, ascending ones as their steps: high planes are zeros, which Spark compresses."""
+    x = np.diff(x.view(np.uint64), prepend=np.uint64(0)) if ascending else x
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def joined(parts: list, kind=np.uint64) -> np.ndarray:
-    """One array of the binary values of an Arrow column or of a list."""
-    return np.concatenate([np.zeros(0, kind), *(array(x, kind) for x in parts)])
+def unpacked(x, kind=np.uint64, ascending: bool = False) -> np.ndarray:
+    y = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return (np.cumsum(y, dtype=np.uint64) if ascending else y).view(kind)
+
+
+def buffers(column: pa.Array) -> list:
+    """The binary values of an Arrow column, not copied; None where null."""
+    return [x.as_buffer() if x.is_valid else None for x in column]
 
 
 def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,14 +101,18 @@ def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(bucket, a slice of each column as bytes) for each bucket that occurs; the order within a bucket is kept."""
+    """(bucket, its slice of each column) for each bucket that occurs; the order within a bucket is kept."""
     if len(bucket) and bucket.max() < 1 << 15:
         bucket = bucket.astype(np.int16)  # sorted by radix
     by = np.argsort(bucket, kind="stable")
     b, columns = bucket[by], [c[by] for c in columns]
     at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
     for lo, hi in zip(at, [*at[1:], len(b)]):
-        yield int(b[lo]), *(c[lo:hi].tobytes() for c in columns)
+        yield int(b[lo]), *(c[lo:hi] for c in columns)
+
+
+def joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
 
 
 def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -128,7 +139,7 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
             bucket[spread] = k[spread] % wide
             by = np.argsort(p)  # equal contexts side by side take little room when compressed
             columns = [k[by], c[by], p[by]][: 2 + (order > 1)]
-            return batch([(*x, None)[:4] for x in dealt(bucket[by].astype(np.int64), *columns)], ["bucket", "keys", "c", "p"])
+            return batch([(to, *map(packed, x), None)[:4] for to, *x in dealt(bucket[by].astype(np.int64), *columns)], ["bucket", "keys", "c", "p"])
 
         for b in batches:
             w, n = tokens(hasher, b.column(0))
@@ -147,15 +158,15 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
             yield flush()
 
     def settle(t: pa.Table) -> pa.Table:
-        key, c = joined(t.column("keys").to_pylist()), joined(t.column("c").to_pylist(), np.int64)
-        k, first, c = summed(key, c)
+        columns = [joined([unpacked(x) for x in buffers(t.column(name))]) for name in ("keys", "c", "p")[: 2 + (order > 1)]]
+        k, first, c = summed(columns[0], columns[1].view(np.int64))
         keep = c >= least
         k, c, rows = k[keep], c[keep], []
-        for to, a, b in dealt((k % wide).astype(np.int64), k, c):
-            rows.append((to, a, b, None, None, len(a) // 8, int(array(b, np.int64).sum())))
+        for to, x, y in dealt((k % wide).astype(np.int64), k, c):
+            rows.append((to, packed(x, True), packed(y), None, None, len(x), int(y.sum())))
         if order > 1:
-            p, _, n, s = summed(joined(t.column("p").to_pylist())[first][keep], np.ones(len(k), np.int64), c)
-            rows += [(to, a, None, x, y, 0, 0) for to, a, x, y in dealt((p % wide).astype(np.int64), p, n, s)]
+            p, _, n, s = summed(columns[2][first][keep], np.ones(len(k), np.int64), c)
+            rows += [(to, packed(x, True), None, packed(y), packed(z), 0, 0) for to, x, y, z in dealt((p % wide).astype(np.int64), p, n, s)]
         return pa.Table.from_batches([batch(rows, [x.split()[0] for x in MODEL.split(", ")])])
 
     got = docs.select("text").mapInArrow(gather, "bucket long, keys binary, c binary, p binary")
@@ -167,11 +178,11 @@ def frequent(model: DataFrame, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield batch([(array(keys)[array(c, np.int64) >= most].tobytes(),)], ["keys"])
+            for keys, c in zip(buffers(b.column(0)), buffers(b.column(1))):
+                yield batch([(unpacked(keys, ascending=True)[unpacked(c, np.int64) >= most].tobytes(),)], ["keys"])
 
     found = model.where("c is not null").select("keys", "c").mapInArrow(run, "keys binary").where(F.octet_length("keys") > 0).toArrow()
-    return distinct(np.r_[_START, joined(found.column(0).to_pylist())])
+    return distinct(np.r_[_START, joined([np.frombuffer(x, np.uint64) for x in found.column(0).to_pylist()])])
 
 
 def marks(model: DataFrame) -> np.ndarray | None:
@@ -181,20 +192,20 @@ def marks(model: DataFrame) -> np.ndarray | None:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = np.sort((array(keys)[array(c, np.int64) >= LEAST_COUNT] & np.uint64(MARK_BITS - 1)).astype(np.uint32))
-                yield batch(list(dealt((at // _RANGE_BITS).astype(np.int64), at % np.uint32(_RANGE_BITS))), ["bucket", "at"])
+            for keys, c in zip(buffers(b.column(0)), buffers(b.column(1))):
+                at = np.sort((unpacked(keys, ascending=True)[unpacked(c, np.int64) >= LEAST_COUNT] & np.uint64(MARK_BITS - 1)).astype(np.uint32))
+                yield batch([(to, x.tobytes()) for to, x in dealt((at // _RANGE_BITS).astype(np.int64), at % np.uint32(_RANGE_BITS))], ["bucket", "at"])
 
     def settle(t: pa.Table) -> pa.Table:
         bits = np.zeros(_RANGE_BITS, bool)
         for x in t.column("at").to_pylist():
-            bits[array(x, np.uint32)] = True
+            bits[np.frombuffer(x, np.uint32)] = True
         return pa.table({"bucket": t.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     placed = model.where("c is not null").select("keys", "c").mapInArrow(place, "bucket long, at binary")
     out = np.zeros(MARK_BITS // 8, np.uint8)
     for r in placed.groupBy("bucket").applyInArrow(settle, "bucket long, bits binary").toLocalIterator():
-        out[r["bucket"] * (_RANGE_BITS // 8) :][: _RANGE_BITS // 8] = array(r["bits"], np.uint8)
+        out[r["bucket"] * (_RANGE_BITS // 8) :][: _RANGE_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -247,10 +258,10 @@ def asked(texts: DataFrame, buckets: int, marked) -> DataFrame:
                     bitmap = marked[k - 2] and marked[k - 2].value
                     of = keys[k - 1][place >= k - 2]
                     held.append(distinct(of[is_marked(bitmap, of)]))
-                if sum(map(len, held)) > 2 * _FLUSH:
+                if sum(map(len, held)) > _FLUSH:
                     held = [distinct(np.concatenate(held))]
             every = distinct(np.concatenate(held))
-            yield batch([(to, block, k) for to, k in dealt((every % wide).astype(np.int64), every)], ["bucket", "block", "keys"])
+            yield batch([(to, block, packed(k, True)) for to, k in dealt((every % wide).astype(np.int64), every)], ["bucket", "block", "keys"])
 
     dealt_out = texts.select("block", "text").repartition("block").sortWithinPartitions("block")
     return dealt_out.mapInArrow(run, "bucket long, block long, keys binary")
@@ -264,21 +275,22 @@ def answers(models: list[DataFrame], requests: DataFrame) -> DataFrame:
         for _, mine in grouped(batches, "bucket"):
             held: list[list] | None = [[], [], [], []]
             for b in mine:
-                for kind, block, *columns in zip(*(x.to_pylist() for x in b.columns[1:])):
+                kinds, blocks = (b.column(i).to_pylist() for i in (1, 2))
+                for kind, block, keys, *columns in zip(kinds, blocks, *(buffers(x) for x in b.columns[3:])):
+                    q = unpacked(keys, ascending=True)
                     if kind == 0:
-                        zeros = bytes(len(columns[0]))
-                        for x, v in zip(held, columns):
-                            x.append(zeros if v is None else v)
+                        held[0].append(q)
+                        for x, v in zip(held[1:], columns):
+                            x.append(np.zeros(len(q), np.int64) if v is None else unpacked(v, np.int64))
                         continue
                     if held is not None:
                         key, _, *stats = summed(joined(held[0]), *(joined(x, np.int64) for x in held[1:]))
                         held = None
                     if not len(key):
                         continue
-                    q = array(columns[0])
                     at = np.minimum(np.searchsorted(key, q), len(key) - 1)
                     hit = key[at] == q
-                    yield batch([(block, q[hit].tobytes(), *(x[at[hit]].tobytes() for x in stats))], names)
+                    yield batch([(block, packed(q[hit], True), *(packed(x[at[hit]]) for x in stats))], names)
 
     none = F.lit(None).cast("binary")
     both = requests.select("bucket", F.lit(1).alias("kind"), "block", "keys", none.alias("c"), none.alias("k"), none.alias("s"))
@@ -290,9 +302,15 @@ def answers(models: list[DataFrame], requests: DataFrame) -> DataFrame:
 class Part:
     """The part of the automaton that a block of texts can reach: key -> count, and number and sum of the arcs kept there."""
 
-    def __init__(self, keys: np.ndarray, c: np.ndarray, k: np.ndarray, s: np.ndarray, train: int, kinds: int, texts: int):
+    def __init__(self, columns: list[list[np.ndarray]], train: int, kinds: int, texts: int):
+        """columns: keys, c, k and s in pieces, which are taken out of it."""
+        keys = joined(columns[0])
         by = np.argsort(keys)
-        self.index, self.stats = Index(keys[by]), [np.r_[x[by], 0] for x in (c, k, s)]
+        self.index = Index(keys[by])
+        self.stats = []
+        for i in (1, 2, 3):
+            self.stats.append(np.r_[joined(columns[i], np.int64)[by], 0])
+            columns[i].clear()
         self.all = train + kinds + 1
         _, k, s = (int(x[0]) for x in self.look_up(np.array([_START])))
         self.start = texts, k, s
@@ -337,14 +355,14 @@ def scored(texts: DataFrame, parts: DataFrame, train: int, kinds: int, starts: i
             for b in mine:
                 is_text = b.column(1).to_numpy() == 1
                 at = int(np.argmax(is_text)) if is_text.any() else b.num_rows
-                for row in zip(*(x.slice(0, at).to_pylist() for x in b.columns[5:])):
-                    for x, v in zip(held, row):
-                        x.append(v)
+                for i, x in enumerate(b.columns[5:]):
+                    if at:
+                        held[i] += [unpacked(v, np.int64 if i else np.uint64, i == 0) for v in buffers(x.slice(0, at))]
                 b = b.slice(at)
                 if not b.num_rows:
                     continue
                 if held is not None:
-                    part, held = Part(joined(held[0]), *(joined(x, np.int64) for x in held[1:]), train, kinds, starts), None
+                    part, held = Part(held, train, kinds, starts), None
                 w, n = tokens(hasher, b.column(4))
                 c, p = part.walk(w, n)
                 of = np.cumsum(n) - n  # every text has a token
@@ -366,22 +384,23 @@ def scores(docs: DataFrame) -> DataFrame:
     unknown and has the probability 1.
     """
     docs = documents(docs).withColumn("held_out", F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD)
-    size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    buckets, blocks = (max(1, -(-size // (7 * most))) for most in (BUCKET, BLOCK))  # a word and its space have about 7 bytes
-    training = docs.where(~F.col("held_out"))
-    send: Callable = docs.sparkSession.sparkContext.broadcast
-    models = [counted(training, 1, buckets, None, None, 1)]
-    train, kinds = (int(x or 0) for x in models[0].agg(F.sum("total"), F.sum("n")).first())
-    marked = []
-    for order in range(2, ORDER + 1):
-        known, hot = send(marks(models[-1])), send(frequent(models[-1], max(1, train // HOT)))
-        models.append(counted(training, order, buckets, known, hot, LEAST_COUNT))
-        marked += [known] if order > 2 else []
-    marked.append(send(marks(models[-1])))
-    texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    requests = checkpointed(asked(texts, buckets, marked))
-    parts = checkpointed(answers(models, requests))
-    discard(*models, requests)
+    with tidy(docs.sparkSession):
+        size, starts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+        buckets, blocks = (max(1, -(-size // (7 * most))) for most in (BUCKET, BLOCK))  # a word and its space have about 7 bytes
+        training = docs.where(~F.col("held_out"))
+        send: Callable = docs.sparkSession.sparkContext.broadcast
+        models = [counted(training, 1, buckets, None, None, 1)]
+        train, kinds = (int(x or 0) for x in models[0].agg(F.sum("total"), F.sum("n")).first())
+        marked = []
+        for order in range(2, ORDER + 1):
+            known, hot = send(marks(models[-1])), send(frequent(models[-1], max(1, train // HOT)))
+            models.append(counted(training, order, buckets, known, hot, LEAST_COUNT))
+            marked += [known] if order > 2 else []
+        marked.append(send(marks(models[-1])))
+        texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+        requests = checkpointed(asked(texts, buckets, marked))
+        parts = checkpointed(answers(models, requests))
+        discard(*models, requests)
     got = scored(texts, parts, train, kinds, int(starts))
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
 
