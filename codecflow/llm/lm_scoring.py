@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_of_id, discard, documents, small_batches, table, tidy
-from .words import Hasher, Index, distinct, mixed
+from .common import checkpointed, crc32_of_id, discard, documents, release, small_batches, table, tidy
+from .words import Hasher, Index, distinct, mixed, slices
 
 FOLDS, HELD = 7, 2
 ORDER = 3
@@ -36,7 +36,7 @@ HOT = 4096
 #: it would rule out little and is not made.
 MARK_BITS, _RANGE_BITS = 1 << 27, 1 << 23
 #: Tokens that a task gathers before it passes on their counts.
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 #: Keys of what stands before a text, and of its end as a token.
 _START, _END = np.uint64(1), np.uint64(2)
 
@@ -92,12 +92,18 @@ def buffers(column: pa.Array) -> list:
     return [x.as_buffer() if x.is_valid else None for x in column]
 
 
-def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, ascending, an index of each in key, and the sums of the columns over each."""
+def equal_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; an order of key by value; where in it each distinct key begins)."""
     by = np.argsort(key)
     k = key[by]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[at], by[at], *(np.add.reduceat(c[by], at) if len(at) else c[:0] for c in columns)
+    return k[at], by, at
+
+
+def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, an index of each in key, and the sums of the columns over each."""
+    k, by, at = equal_runs(key)
+    return k, by[at], *(np.add.reduceat(c[by], at) if len(at) else c[:0] for c in columns)
 
 
 def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -131,9 +137,11 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
         bitmap, often = marked and marked.value, Index(hot.value if hot else np.zeros(0, np.uint64))
 
         def flush() -> pa.RecordBatch:
-            context, key = (np.concatenate(x) for x in zip(*held))
-            k, first, c = summed(key, np.ones(len(key), np.int64))
-            p = context[first]
+            context, key = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held.clear()
+            k, by, at = equal_runs(key)
+            p, c = context[by[at]], np.diff(np.r_[at, len(by)])
+            del context, key, by, at
             bucket = p % wide
             spread = often.places(p) < len(often)
             bucket[spread] = k[spread] % wide
@@ -141,7 +149,7 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
             columns = [k[by], c[by], p[by]][: 2 + (order > 1)]
             return batch([(to, *map(packed, x), None)[:4] for to, *x in dealt(bucket[by].astype(np.int64), *columns)], ["bucket", "keys", "c", "p"])
 
-        for b in batches:
+        for b in slices(batches, 0):
             w, n = tokens(hasher, b.column(0))
             keys, contexts, place = grams(w, n)
             if order == 1:
@@ -153,9 +161,10 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
             size += len(held[-1][0])
             if size > _FLUSH:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
+        release()
 
     def settle(t: pa.Table) -> pa.Table:
         columns = [joined([unpacked(x) for x in buffers(t.column(name))]) for name in ("keys", "c", "p")[: 2 + (order > 1)]]
@@ -167,7 +176,10 @@ def counted(docs: DataFrame, order: int, buckets: int, marked, hot, least: int)
         if order > 1:
             p, _, n, s = summed(columns[2][first][keep], np.ones(len(k), np.int64), c)
             rows += [(to, packed(x, True), None, packed(y), packed(z), 0, 0) for to, x, y, z in dealt((p % wide).astype(np.int64), p, n, s)]
-        return pa.Table.from_batches([batch(rows, [x.split()[0] for x in MODEL.split(", ")])])
+        out = pa.Table.from_batches([batch(rows, [x.split()[0] for x in MODEL.split(", ")])])
+        rows.clear()
+        release()
+        return out
 
     got = docs.select("text").mapInArrow(gather, "bucket long, keys binary, c binary, p binary")
     return checkpointed(got.groupBy("bucket").applyInArrow(settle, MODEL))
@@ -251,7 +263,7 @@ def asked(texts: DataFrame, buckets: int, marked) -> DataFrame:
         hasher = Hasher()
         for block, mine in grouped(batches, "block"):
             held = [np.array([_START])]
-            for b in mine:
+            for b in slices(mine, 1):
                 keys, _, place = grams(*tokens(hasher, b.column(1)))
                 held.append(distinct(keys[0]))
                 for k in range(2, ORDER + 1):
@@ -261,7 +273,9 @@ def asked(texts: DataFrame, buckets: int, marked) -> DataFrame:
                 if sum(map(len, held)) > _FLUSH:
                     held = [distinct(np.concatenate(held))]
             every = distinct(np.concatenate(held))
+            held.clear()
             yield batch([(to, block, packed(k, True)) for to, k in dealt((every % wide).astype(np.int64), every)], ["bucket", "block", "keys"])
+        release()
 
     dealt_out = texts.select("block", "text").repartition("block").sortWithinPartitions("block")
     return dealt_out.mapInArrow(run, "bucket long, block long, keys binary")
@@ -291,6 +305,7 @@ def answers(models: list[DataFrame], requests: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(key, q), len(key) - 1)
                     hit = key[at] == q
                     yield batch([(block, packed(q[hit], True), *(packed(x[at[hit]]) for x in stats))], names)
+        release()
 
     none = F.lit(None).cast("binary")
     both = requests.select("bucket", F.lit(1).alias("kind"), "block", "keys", none.alias("c"), none.alias("k"), none.alias("s"))
@@ -305,19 +320,24 @@ class Part:
     def __init__(self, columns: list[list[np.ndarray]], train: int, kinds: int, texts: int):
         """columns: keys, c, k and s in pieces, which are taken out of it."""
         keys = joined(columns[0])
+        columns[0].clear()
         by = np.argsort(keys)
         self.index = Index(keys[by])
         self.stats = []
-        for i in (1, 2, 3):
-            self.stats.append(np.r_[joined(columns[i], np.int64)[by], 0])
-            columns[i].clear()
+        for x in columns[1:]:
+            found = np.zeros(len(keys) + 1, np.result_type(np.uint32, *x))
+            found[:-1] = joined(x, found.dtype)[by]
+            self.stats.append(found)
+            x.clear()
+        del keys, by
+        release()
         self.all = train + kinds + 1
         _, k, s = (int(x[0]) for x in self.look_up(np.array([_START])))
         self.start = texts, k, s
 
     def look_up(self, q: np.ndarray) -> list[np.ndarray]:
         at = self.index.places(q)
-        return [x[at] for x in self.stats]
+        return [x[at].astype(np.int64) for x in self.stats]
 
     def walk(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count of each token, its probability) along the texts.
@@ -357,17 +377,20 @@ def scored(texts: DataFrame, parts: DataFrame, train: int, kinds: int, starts: i
                 at = int(np.argmax(is_text)) if is_text.any() else b.num_rows
                 for i, x in enumerate(b.columns[5:]):
                     if at:
-                        held[i] += [unpacked(v, np.int64 if i else np.uint64, i == 0) for v in buffers(x.slice(0, at))]
+                        values = (unpacked(v, np.int64 if i else np.uint64, i == 0) for v in buffers(x.slice(0, at)))
+                        held[i] += [v.astype(np.uint32) if i and len(v) and v.max() < 1 << 32 else v for v in values]
                 b = b.slice(at)
                 if not b.num_rows:
                     continue
                 if held is not None:
                     part, held = Part(held, train, kinds, starts), None
-                w, n = tokens(hasher, b.column(4))
-                c, p = part.walk(w, n)
-                of = np.cumsum(n) - n  # every text has a token
-                sums = (np.add.reduceat(x, of) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0) - all_, np.log10(p)))
-                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(n), *(pa.array(x) for x in sums)], names)
+                for b in slices([b], 4):
+                    w, n = tokens(hasher, b.column(4))
+                    c, p = part.walk(w, n)
+                    of = np.cumsum(n) - n  # every text has a token
+                    sums = (np.add.reduceat(x, of) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0) - all_, np.log10(p)))
+                    yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(n), *(pa.array(x) for x in sums)], names)
+        release()
 
     none = F.lit(None).cast("binary")
     rows = texts.select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "text", *(none.alias(x) for x in ("keys", "c", "k", "s")))

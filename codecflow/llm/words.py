@@ -6,6 +6,8 @@ bytes, taken from running sums over a piece of the column, and mixed with its le
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -49,6 +51,18 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (column number `text`) have `most` bytes together, or are one text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends, lo = flat(b.column(text))[1], 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 class Hasher:
     """Tables of powers, grown where a single word asks for it."""
 
