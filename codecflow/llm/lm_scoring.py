@@ -13,6 +13,7 @@ the state of a place is the longest context there that has arcs, and failure arc
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,8 @@ LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: Tokens whose n-grams make up a bucket, and a block of texts.
 BUCKET, BLOCK = 1 << 21, 1 << 22
+#: Rounds in which blocks are scored, so that only so small a share of what they ask for lies on disk at a time.
+WAVES = 4
 #: A context with this fraction of all tokens (there are at most as many) has its n-grams dealt over all buckets.
 HOT = 4096
 #: Bits of the bitmap of kept n-grams: what it rules out is surely not kept, all else is looked up. Beyond four n-grams a bit
@@ -421,11 +424,16 @@ def scores(docs: DataFrame) -> DataFrame:
             marked += [known] if order > 2 else []
         marked.append(send(marks(models[-1])))
         texts = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-        requests = checkpointed(asked(texts, buckets, marked))
-        parts = checkpointed(answers(models, requests))
-        discard(*models, requests)
-    got = scored(texts, parts, train, kinds, int(starts))
-    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
+        got, waves = [], min(WAVES, blocks)
+        for wave in range(waves):
+            mine = texts.where(F.col("block") % waves == wave)
+            requests = checkpointed(asked(mine, buckets, marked))
+            parts = checkpointed(answers(models, requests))
+            discard(requests)
+            got.append(checkpointed(scored(mine, parts, train, kinds, int(starts))))
+            discard(parts)
+        discard(*models)
+    return functools.reduce(DataFrame.unionAll, got).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
