@@ -88,7 +88,7 @@ def gapless(df: DataFrame, key: str, out: str) -> DataFrame:
     return tagged.join(first, [key, task]).withColumn(out, F.col("__first") + F.col("__local")).drop("__first", "__local", task)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): component is the smallest node reachable.
 
     Large-star and small-star steps in turn until the edges are stars. All edges stay distributed; each round is
@@ -97,11 +97,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
     before = None
-    for _ in range(most_rounds):
+    while True:
+        # minima are summed up before they are shuffled, and joined again: no node, however many neighbours, is one window
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e, old = checkpointed(small), e
         discard(old)
@@ -109,7 +110,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

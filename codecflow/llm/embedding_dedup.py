@@ -3,12 +3,14 @@
 Unit vectors are cut in two halves with a codebook each; the product of the codebooks is a grid of cells. Every vector lies
 in its own cell and visits cells in the order of a lower bound on their distance (multi-sequence traversal over the two
 sorted lists of half distances). The traversal ends when the bound exceeds the distance that the similarity allows, so the
-recall aimed at is 1: no link can be missed. Pairs within a cell are verified by blocked products in double precision.
+recall aimed at is 1: no link can be missed. Two vectors visit each other's cells; of the two visits only the one to the
+later cell is made. Pairs within a cell are verified by blocked products in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, forest, one_thread, table
 
 SIMILARITY = 0.98
-#: Centroids of each half, vectors they are fitted on, vectors in a block of a cell. More centroids make smaller cells but
-#: more visits: where vectors fill their space evenly, the exact bound lets 64 cells be visited 27 times, 576 cells 94 times.
-CENTROIDS, SAMPLE, BLOCK = 8, 4096, 512
+#: Vectors that each codebook is fitted on, vectors in a block of a cell.
+SAMPLE, BLOCK = 4096, 512
+#: Centroids of each half: as many as give the largest label this many vectors a cell, between these bounds. The grid grows
+#: with the vectors, so that the share of it that a vector visits falls; few vectors do not pay for many visits.
+IN_CELL, LEAST_CENTROIDS, MOST_CENTROIDS = 256, 2, 64
 #: Vectors whose visits make up one batch.
 _SLICE = 512
 #: What rounding may add to a distance, in the bound only.
@@ -88,8 +92,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_grid(points: DataFrame, kind: str, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Grid:
+def fit_grid(points: DataFrame, kind: str, centroids: int | None = None, sample: int = SAMPLE) -> Grid:
     """Codebooks from the `sample` vectors of the smallest id hashes; vectors of other lengths than the first are left out."""
+    if centroids is None:
+        largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        centroids = min(max(math.ceil(math.sqrt(largest / IN_CELL)), LEAST_CENTROIDS), MOST_CENTROIDS)
     raw = [bytes(r["raw"]) for r in points.select("rep", "raw").orderBy(F.xxhash64("rep"), "rep").limit(sample).toLocalIterator()]
     x = units([r for r in raw if len(r) == len(raw[0])], kind) if raw else np.zeros((0, 2))
     half = x.shape[1] // 2
@@ -123,8 +130,8 @@ def as_bytes(groups: DataFrame, kind: str) -> DataFrame:
 
 
 def probes(points: DataFrame, grid: Grid, kind: str, similarity: float) -> DataFrame:
-    """rep, label, mult, raw, cell, home: each vector in every cell that may hold a neighbour; home: in its own."""
-    sent = points.sparkSession.sparkContext.broadcast(grid)  # 2 * CENTROIDS half vectors
+    """rep, label, mult, raw, cell, home: each vector in its own cell (home) and in every later one that may hold a neighbour."""
+    sent = points.sparkSession.sparkContext.broadcast(grid)  # 2 * MOST_CENTROIDS half vectors
     most = 2 - 2 * similarity + SLACK
 
     def visits(raw: list[bytes], g: Grid) -> tuple[list[int], list[int], list[bool]]:
@@ -139,8 +146,8 @@ def probes(points: DataFrame, grid: Grid, kind: str, similarity: float) -> DataF
             (na, ba), (nb, bb) = g.half_bounds(0, m[:, :half]), g.half_bounds(1, m[:, half:])
             for r, i in enumerate(fits):
                 own = int(na[r]) * len(g.books[1]) + int(nb[r])
-                found = {ca * len(g.books[1]) + cb for ca, cb in traverse(ba[r], bb[r], most)} | {own}
-                for c in sorted(found):
+                found = {ca * len(g.books[1]) + cb for ca, cb in traverse(ba[r], bb[r], most)}
+                for c in sorted({own, *(c for c in found if c > own)}):
                     at.append(i), cells.append(c), home.append(c == own)
         return at, cells, home
 
@@ -159,14 +166,17 @@ def probes(points: DataFrame, grid: Grid, kind: str, similarity: float) -> DataF
 def verify(placed: DataFrame, kind: str, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b, n): b null: n links that a has in a pair of blocks; else a link of the spanning forest there.
 
+    A visitor from another cell and the vector of this one get their link both; two vectors at home here meet twice, once as
+    visitors each, and only the visitor gets it.
+
     A cell is dealt into blocks by id hash; every pair of a block of visitors and a block of its own vectors is one small
     group, so that no cell, however full, meets in one task, and pairs never become rows.
     """
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count(F.when(F.col("home"), 1)) / block).cast("int").alias("own_blocks"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("own_blocks > 0")
     p = placed.join(sizes, ["label", "cell"])
     mixed = F.xxhash64("rep", "cell")
-    visits = p.select("label", "cell", F.pmod(mixed, F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("j"), "rep", "mult", "raw", F.lit(False).alias("own"))
-    owns = p.where("home").select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed, F.col("own_blocks")).alias("j"), "rep", "mult", "raw", F.lit(True).alias("own"))
+    visits = p.select("label", "cell", F.pmod(mixed, F.col("blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("j"), "rep", "mult", "raw", "home", F.lit(False).alias("own"))
+    owns = p.where("home").select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(mixed, F.col("own_blocks")).alias("j"), "rep", "mult", "raw", "home", F.lit(True).alias("own"))
     both = visits.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")).unionByName(owns.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")))
 
     def links(t: pa.Table) -> pa.Table:
@@ -177,9 +187,10 @@ def verify(placed: DataFrame, kind: str, similarity: float, block: int = BLOCK)
         if own.any() and not own.all():
             y, x = (units([raw[k] for k in np.flatnonzero(of)], kind) for of in (own, ~own))
             near = (x @ y.T >= similarity) & (rep[~own][:, None] != rep[own][None, :])
-            n = near @ mult[own]
-            for k in np.flatnonzero(n):
-                out[0].append(int(rep[~own][k])), out[1].append(None), out[2].append(int(n[k]))
+            guest = ~t.column("home").to_numpy().astype(bool)[~own]
+            for ids, n in ((rep[~own], near @ mult[own]), (rep[own], near[guest].T @ mult[~own][guest])):
+                for k in np.flatnonzero(n):
+                    out[0].append(int(ids[k])), out[1].append(None), out[2].append(int(n[k]))
             a, b = np.nonzero(near)
             for u, v in forest(rep[~own][a], rep[own][b]):
                 out[0].append(u), out[1].append(v), out[2].append(0)
@@ -188,25 +199,40 @@ def verify(placed: DataFrame, kind: str, similarity: float, block: int = BLOCK)
     return both.groupBy("label", "cell", "i", "j").applyInArrow(links, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, centroids: int = CENTROIDS, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding, label).
 
     Rows with equal labels link from `similarity` on. Rows with a null id or label and vectors that are null, zero or hold
     null or non-finite components link with nothing and are their own component; vectors of different lengths never link.
-    Equal vectors of a label are one point with a multiplicity: copies link with one another and share all else. Repeated
-    ids are one node whose links add up. An empty table gives an empty result.
+    Equal vectors of a label are one point with a multiplicity: copies link with one another and share all else. Rows with
+    one id are one node: equal ones count once, the links of different ones with rows of other ids add up, and components
+    are joined through all of them. An empty table gives an empty result.
     """
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"))
     able = usable(vectors)
-    points = checkpointed(able.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    grouped = able.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    points = checkpointed(grouped.withColumn("rep", F.monotonically_increasing_id()))  # a name of its own for each point
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # floats are kept as they are
     raw = checkpointed(as_bytes(points, kind))
     found = checkpointed(verify(probes(raw, fit_grid(raw, kind, centroids, sample), kind, similarity), kind, similarity))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    copies = able.join(points, ["label", "embedding"]).groupBy("vec_id").agg(F.min("rep").alias("rep"), F.max("mult").alias("mult"))
-    merged = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    linked = copies.join(counts, "rep", "left").join(merged, "rep", "left")
-    linked = linked.select(F.col("vec_id").alias("__id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    copies = checkpointed(able.join(points, ["label", "embedding"]).groupBy("vec_id", "rep").agg(F.count("*").alias("same"), *(F.first(c).alias(c) for c in ("label", "least", "mult"))))
+    several = copies.groupBy("vec_id").agg(F.count("*").alias("points")).where("points > 1")
+    # links among the vectors of one id do not count: those of an id and a label are a cell, verified as all cells are
+    mine = checkpointed(copies.join(several.select("vec_id"), "vec_id").join(raw.select("rep", "raw"), "rep").select(F.monotonically_increasing_id().alias("rep"), F.col("rep").alias("point"), "vec_id", "label", "least", F.col("same").alias("mult"), "raw"))
+    inner = verify(mine.select("rep", "label", "mult", "raw", F.col("vec_id").alias("cell"), F.lit(True).alias("home")), kind, similarity)
+    inner = inner.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("inner")) if not mine.isEmpty() else None
+    linked = copies.join(counts, "rep", "left")
+    if inner is not None:
+        linked = linked.join(mine.join(inner, "rep").select(F.col("point").alias("rep"), "vec_id", "inner"), ["rep", "vec_id"], "left")
+    else:
+        linked = linked.withColumn("inner", F.lit(None).cast("long"))
+    count = F.col("mult") - F.col("same") + F.coalesce("links", F.lit(0)) - F.coalesce("inner", F.lit(0))
+    linked = linked.groupBy("vec_id").agg(F.sum(count).cast("long").alias("n_links"), F.min("least").alias("least"))
+    ends = points.select(F.col("rep").alias("p"), "least")
+    edges = found.where("b is not null").join(ends, F.col("a") == F.col("p")).select(F.col("least").alias("x"), "b").join(ends, F.col("b") == F.col("p")).select(F.col("x").alias("a"), F.col("least").alias("b"))
+    merged = components(edges.unionAll(mine.select(F.col("vec_id").alias("a"), F.col("least").alias("b"))))
+    linked = linked.join(merged, linked["least"] == merged["node"], "left").select(F.col("vec_id").alias("__id"), "n_links", F.coalesce("component", "least").alias("component_id"))
     out = rows.join(linked, rows["vec_id"] == linked["__id"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

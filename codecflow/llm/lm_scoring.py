@@ -30,7 +30,7 @@ ORDER = 3
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: Tokens whose n-grams make up a bucket, and a block of texts.
-BUCKET, BLOCK = 1 << 21, 1 << 22
+BUCKET, BLOCK = 1 << 21, 1 << 21
 #: Rounds in which blocks are scored, so that only so small a share of what they ask for lies on disk at a time.
 WAVES = 4
 #: A context with this fraction of all tokens (there are at most as many) has its n-grams dealt over all buckets.

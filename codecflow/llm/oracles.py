@@ -17,7 +17,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS e FROM embeddings
   WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links(a, b) AS (
-  SELECT x.vec_id, y.vec_id FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  SELECT x.vec_id, y.vec_id FROM (SELECT DISTINCT vec_id, label, e FROM v) x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
   WHERE list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e) * list_inner_product(y.e, y.e)) >= {embedding_dedup.SIMILARITY}
 ), {_COMPONENTS}
 SELECT e.vec_id, coalesce(n.n, 0)::bigint AS n_links, least(e.vec_id, coalesce(l.component, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(l.component, e.vec_id)) AS kept
@@ -67,13 +67,13 @@ f AS (
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-own AS (SELECT lang FROM held WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_IN_STRATUM} ORDER BY count(*) DESC, lang LIMIT {quality_rules.MOST_STRATA}),
-tests AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE 'rest' END AS stratum, unnest([{values}], recursive := true) FROM b),
+own AS (SELECT lang FROM held GROUP BY lang HAVING count(*) >= {quality_rules.LEAST_IN_STRATUM}),
+tests AS (SELECT b.*, b.lang AS stratum, unnest([{values}], recursive := true) FROM b JOIN own ON b.lang IS NOT DISTINCT FROM own.lang),
 counted AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (hit) AS k FROM tests WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
 tail AS (
   SELECT stratum, rule, cutoff, n, k, CASE WHEN k > n * {share!r}::double THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}::double) + (n - i) * ln(1 - {share!r}::double))) FROM unnest(range(k + 1)) t(i)) END AS p FROM counted
-), chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= {quality_rules.DELTA} / (((SELECT count(*) FROM own) + 1) * {len(tests)}) GROUP BY ALL),
-bad AS (SELECT DISTINCT t.doc_id FROM tests t JOIN chosen c ON t.stratum = c.stratum AND t.rule = c.rule AND t.cutoff = c.cutoff WHERE t.hit)
+), chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tail WHERE p <= {quality_rules.DELTA} / ((SELECT count(*) FROM own) * {len(tests)}) GROUP BY ALL),
+bad AS (SELECT DISTINCT t.doc_id FROM tests t JOIN chosen c ON t.stratum IS NOT DISTINCT FROM c.stratum AND t.rule = c.rule AND t.cutoff = c.cutoff WHERE t.hit)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 

@@ -2,8 +2,9 @@
 
 Each rule rejects documents whose measure is above a cutoff. Labelled good documents that pass the base rule are the
 holdout: a cutoff of a fixed grid is certified for a stratum (a language) when the exact binomial tail shows, at a level
-that Bonferroni's correction divides over all strata, rules and cutoffs, that at most its share of good documents is
-rejected. The lowest certified cutoff is used; where none is certified the rule rejects nothing.
+that Bonferroni's correction divides over all tested strata, rules and cutoffs, that at most its share of good documents is
+rejected. The lowest certified cutoff is used; where none is certified the rule rejects nothing. No stratum borrows the
+cutoffs of another: one with too few good labelled documents to be tested certifies nothing.
 """
 
 from __future__ import annotations
@@ -13,14 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, checkpointed, table
+from .common import SPACES, WORD, checkpointed, discard, table
 
 #: Largest share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 RISK, DELTA = 0.05, 0.05
-#: Strata with fewer good labelled documents are treated as one together.
+#: Strata with fewer good labelled documents are not tested: hardly a cutoff could be certified, and each test costs the others.
 LEAST_IN_STRATUM = 500
-#: Only the SQL still has it: the strata of their own in it.
-MOST_STRATA = 64
 #: rule: (measure, grid of cutoffs, ascending)
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / n_words", [0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.5, 3.0]),
@@ -103,41 +102,36 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k <= n * p, F.least(tail, F.lit(1.0))).otherwise(1.0)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[DataFrame, dict[str, float]]:
-    """((lang, one cutoff of each rule or null) of the strata of their own, {rule: cutoff} of the rest).
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, one cutoff of each rule or null) of every stratum with a certified cutoff.
 
     measured has features, doc_id and lang; labels doc_id and quality. All labelled rows count; a document is good when no
-    label of it says otherwise. Every language with LEAST_IN_STRATUM good documents is a stratum, however many there are.
+    label of it says otherwise. Every language with LEAST_IN_STRATUM good documents is tested, and so are the documents
+    without a language together, whose stratum is null.
     """
     good = labels.where("doc_id is not null").groupBy(labels["doc_id"].cast("long").alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1")
     held = measured.where(~base_failed()).join(good, measured["doc_id"] == good["__id"], "left_semi")
     tests = [(rule, c) for rule, (_, grid) in RULES.items() for c in grid]
     hits = (F.sum(F.when(measure(rule) > c, 1).otherwise(0)).alias(f"k{i}") for i, (rule, c) in enumerate(tests))
-    by_lang = checkpointed(held.groupBy("lang").agg(F.count("*").alias("n"), *hits))
-    big = (F.col("n") >= LEAST_IN_STRATUM) & F.col("lang").isNotNull()
-    own = by_lang.where(big).select("lang")
-    # the stratum of the rest is null
-    counted = by_lang.groupBy(F.when(big, F.col("lang")).alias("stratum")).agg(F.sum("n").alias("n"), *(F.sum(f"k{i}").alias(f"k{i}") for i in range(len(tests))))
-    level = delta / ((own.count() + 1) * len(tests))
+    counted = checkpointed(held.groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n"), *hits).where(F.col("n") >= LEAST_IN_STRATUM))
+    level = delta / (max(1, counted.count()) * len(tests))
     rows = counted.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(tests)))).alias("x")).select("stratum", "n", "x.*")
     certified = rows.where(binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= level)
     found = checkpointed(certified.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"__c{i}") for i, rule in enumerate(RULES))))
-    rest = found.where("stratum is null").first()
-    mine = own.join(found.where("stratum is not null"), F.col("lang") == F.col("stratum"), "left").select("lang", *(f"__c{i}" for i in range(len(RULES))), F.lit(True).alias("__own"))
-    return checkpointed(mine), {rule: rest[f"__c{i}"] for i, rule in enumerate(RULES) if rest and rest[f"__c{i}"] is not None}
+    discard(counted)
+    return found
 
 
-def with_cutoffs(df: DataFrame, own: DataFrame) -> DataFrame:
-    """df with the cutoffs of its lang, null where it has none of its own."""
-    return df.join(own.withColumnRenamed("lang", "__lang"), df["lang"] == F.col("__lang"), "left")
+def with_cutoffs(df: DataFrame, found: DataFrame) -> DataFrame:
+    """df with the cutoffs of its lang, null where it has none."""
+    return df.join(found.withColumnRenamed("stratum", "__stratum"), df["lang"].eqNullSafe(F.col("__stratum")), "left")
 
 
-def rejected(rest: dict[str, float]) -> Column:
+def rejected() -> Column:
     """Whether some rule's certified cutoff for the document's stratum is exceeded."""
     out = F.lit(False)
     for i, rule in enumerate(RULES):
-        cutoff = F.when(F.col("__own"), F.col(f"__c{i}")).otherwise(F.lit(rest.get(rule)).cast("double"))
-        out = out | F.coalesce(measure(rule) > cutoff, F.lit(False))
+        out = out | F.coalesce(measure(rule) > F.col(f"__c{i}"), F.lit(False))
     return out
 
 
@@ -149,22 +143,21 @@ def input_columns(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, the features, base_failed and kept for every row of docs.
 
-    Null texts are empty and fail the base; a null lang belongs to the rest of the strata; rows with a null doc_id are
+    Null texts are empty and fail the base; rows with a null lang are a stratum of their own; rows with a null doc_id are
     judged but never labelled; repeated rows are judged alike; without labels no rule is certified and the base decides.
     """
     measured = checkpointed(features(input_columns(docs)).drop("text"))
-    own, rest = cutoffs(measured, labels)
-    got = with_cutoffs(measured, own).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(rest))
+    got = with_cutoffs(measured, cutoffs(measured, labels)).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected())
     return got.select(*measured.columns, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that judge() keeps."""
-    measured = checkpointed(features(input_columns(docs)).drop("text"))
-    own, rest = cutoffs(measured, labels)
-    whole = docs.select(F.struct("*").alias("__row"), docs["text"].cast("string").alias("text"), (docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
-    # A filter would be pushed below the projections and evaluate the features' expressions again and again.
-    return features(with_cutoffs(whole, own)).select(F.inline(F.when(~base_failed() & ~rejected(rest), F.array("__row"))))
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    whole = docs.select(F.struct("*").alias("__row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), lang.alias("lang"))
+    # Rows are kept with their features, which cost more than to write a row. Texts lie in the row alone.
+    measured = checkpointed(features(whole).drop("text"))
+    return with_cutoffs(measured, cutoffs(measured, labels)).where(~base_failed() & ~rejected()).select("__row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

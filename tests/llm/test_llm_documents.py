@@ -282,8 +282,20 @@ def test_every_large_language_is_a_stratum(spark, monkeypatch):
     marked = labels(spark, [(i, 1, 0) for i, _, _ in rows])
     assert {x["kept"] for x in quality_rules.judge(df, marked).where("lang = 'zz'").collect()} == {True}
     assert quality_rules.keep_good(df, marked).where("lang = 'zz'").count() == 20
-    junk = spark.createDataFrame([(10**6, rows[-1][1], None)], "doc_id long, text string, lang string")
-    assert not quality_rules.judge(df.unionAll(junk), marked).where("doc_id = 1000000").first()["kept"]  # the rest has its cutoffs
+    junk = spark.createDataFrame([(10**6, rows[-1][1], None), (10**6, rows[-1][1], "never labelled")], "doc_id long, text string, lang string")
+    judged = {x["lang"]: x["kept"] for x in quality_rules.judge(df.unionAll(junk), marked).where("doc_id = 1000000").collect()}
+    assert judged == {None: False, "never labelled": True}  # only the documents without a language have cutoffs
+
+
+def test_strata_borrow_no_cutoffs(spark):
+    r = random.Random(10)
+    plain = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(52))
+    dirty = lambda: " ".join(w + "%" for w in plain().split())
+    rows = [(lang, f()) for k in range(21) for lang, f, n in [(f"l{k}", plain, 480)] for _ in range(n)] + [("few", dirty())] * 45
+    rows += [("aa", plain()) for _ in range(1400)] + [("bb", dirty()) for _ in range(1400)] + [("aa", dirty())]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = quality_rules.judge(df, labels(spark, [(i, 1, 0) for i in range(len(rows) - 1)])).groupBy("lang").agg({"kept": "min", "doc_id": "count"}).collect()
+    assert {x["lang"] for x in got if not x["min(kept)"]} == {"aa"}  # its one dirty document; what is normal in bb stays
 
 
 # -- classifier ---------------------------------------------------------------------------------------------------------------------

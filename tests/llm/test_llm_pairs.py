@@ -88,6 +88,26 @@ def test_embedding_blocks_and_null_ids(spark, monkeypatch):
     assert got == {k: (n[k] if k is not None else 0, component.get(k)) for k, _, _ in rows}
 
 
+def test_repeated_ids_are_one_node(spark):
+    probe = [(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.0, 0.0], 1), (5, [1.0, 0.0, 0.0, 0.0], 1), (5, [0.0, 1.0, 0.0, 0.0], 1)]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = {(v["vec_id"], v["n_links"], v["component_id"]) for v in embedding_dedup.near_duplicates(spark.createDataFrame(probe, schema)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (5, 2, 1)}
+    r = np.random.default_rng(4)
+    base = r.normal(size=(6, 6))
+    rows = [(int(r.integers(40)), (base[i % 6] + r.normal(size=6) * 0.15).tolist(), int(i % 5 == 0)) for i in range(150)]
+    rows += rows[:20] + [(k, rows[0][1], 0) for k in (3, 3, 3, 9)]
+    ids = {k for k, _, _ in rows}
+    once = {(k, tuple(v), label) for k, v, label in rows}
+    near = lambda x, y: np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)) >= 0.98
+    linked = [(k, j) for k, v, a in once for j, w, b in rows if a == b and k != j and near(v, w)]
+    n = {k: sum(x == k for x, _ in linked) for k in ids}
+    links = {k: [j for x, j in linked if x == k] for k in ids}
+    component = reach(list(ids), links)
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == len(rows) and {v["vec_id"]: (v["n_links"], v["component_id"]) for v in out} == {k: (n[k], component[k]) for k in ids}
+
+
 def test_traversal_visits_cells_in_order():
     a, b = np.array([0.3, 0.0, 0.1]), np.array([0.2, 0.05])
     cells = list(embedding_dedup.traverse(a, b, 0.1))
