@@ -5,8 +5,9 @@ documents in the order of hashes alone, the others are ordered by hash. Two sets
 size - ceil(0.75 * size) + m, for every m. Each document has the m that its estimated candidate cost asks for, and a prefix
 of that length. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
 through the shingles they share; there only pairs that share as many prefix shingles as the smaller m of the two are
-verified. Clusters are cut into tiles by set size and hash, so that pairs
-never become rows and no cluster meets in one task.
+verified. Clusters are cut into blocks of sets with the same least prefix shingle, and of two blocks only those meet that
+share as many prefix shingles as any two of their sets must: so neither does a pair become a row, nor does a cluster meet in
+one task or all with all.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, discard, documents, forest, one_thread, small_batches, table
+from .words import Hasher, distinct, slices
 
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
@@ -35,40 +37,35 @@ TILE, TILE_SHINGLES = 1024, 1 << 20
 #: Size of the bitmap that says whose texts need not be read for verification.
 MARK_BITS = 1 << 24
 _CHUNK = 2048
-_KEPT_WORDS = 200_000
+#: Sets whose prefixes a task remembers to have passed on: copies in one task meet once.
+_SEEN = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingles:
-    """64-bit hashes of the distinct shingles of a text, sorted."""
+    """64-bit hashes of the distinct shingles of texts, sorted."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        out = [known.get(w) for w in words]
-        if None in out:
-            if len(known) > _KEPT_WORDS:
-                known.clear()
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(out, np.uint64)
-
-    def of(self, text: str) -> np.ndarray:
-        # bytes.lower() changes A-Z only and bytes.split() splits at \x20 and \x09-\x0D
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        w, k = self.hashes(words), min(self.words, len(words))
-        n = len(w) - k + 1
+        self.words, self.hasher = words, Hasher()
+
+    def fold(self, w: np.ndarray, k: int) -> np.ndarray:
+        n = max(len(w) - k + 1, 0)
         with np.errstate(over="ignore"):
             h = np.full(n, np.uint64(k))
             for i in range(k):
                 h = (h ^ w[i : i + n]) * _BASE
                 h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return h
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        w, n = self.hasher.of(texts)
+        at = np.cumsum(n) - n
+        whole = self.fold(w, self.words)  # those that cross from one text into the next are left out
+        for lo, k in zip(at.tolist(), n.tolist()):
+            if k >= self.words:
+                yield distinct(whole[lo : lo + k - self.words + 1])
+            else:
+                yield self.fold(w[lo : lo + k], k) if k else w[:0]
 
 
 class Order:
@@ -128,8 +125,8 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for b in batches:
-            sets = [shingles.of(t or "") for t in b.column(1).to_pylist()]
+        for b in slices(batches, 1):
+            sets = list(shingles.of(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "set_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long")
@@ -163,9 +160,17 @@ def prefixes_of_texts(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by = Shingles(words), Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for b in batches:
-            sets = [shingles.of(t or "") for t in b.column(0).to_pylist()]
-            yield prefixes(sets, [set_id(s) for s in sets], by)
+        seen: set[int] = set()
+        for b in slices(batches, 0):
+            new = {}
+            for s in shingles.of(b.column(0)):
+                i = set_id(s)
+                if i not in seen:
+                    new[i] = s
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.update(new)
+            yield prefixes(new.values(), list(new), by)
 
     return docs.select("text").mapInArrow(run, PREFIXES)
 
@@ -184,11 +189,13 @@ def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written table, and what is left of it: postings(h, set_id, least) of shingles in several prefixes, with the least
     set of each (`to`).
 
-    Sets go that share fewer prefix shingles with all others together than they would with one partner.
+    Sets go that share fewer prefix shingles with all others together than they would with one partner. The sets of a shingle
+    are never gathered: their least and greatest are summed up before the shuffle, and a frequent shingle's share of the join
+    can be split.
     """
-    by = Window.partitionBy("h")
-    met = postings.withColumn("to", F.min("set_id").over(by)).withColumn("other", F.max("set_id").over(by))
-    met = checkpointed(met.where("to <> other").select("h", "set_id", "least", "to").dropDuplicates(["h", "set_id"]))
+    shared_ = postings.groupBy("h").agg(F.min("set_id").alias("to"), F.max("set_id").alias("other")).where("to <> other").select("h", "to")
+    met = postings.join(shared_, "h").groupBy("h", "set_id").agg(F.min("least").alias("least"), F.min("to").alias("to"))
+    met = checkpointed(met)
     able = met.groupBy("set_id").agg(F.count("*").alias("n"), F.min("least").alias("l")).where("n >= l")
     return met, met.join(able.select("set_id"), "set_id")
 
@@ -208,12 +215,11 @@ def ordered_sets(docs: DataFrame, order, marked, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, by, bitmap = Shingles(words), order.value, marked.value
-        for b in batches:
+        for b in slices(batches, 1):
             at = b.column(0).to_numpy()
             maybe = np.flatnonzero(bitmap[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
             ids, n, m, sets = [], [], [], []
-            for t in b.column(1).take(pa.array(maybe)).to_pylist():
-                s = shingles.of(t or "")
+            for s in shingles.of(b.column(1).take(pa.array(maybe))):
                 if len(s):
                     o, f = by.sorted(s)
                     ids.append(set_id(s)), n.append(len(s)), m.append(matches(f)), sets.append(o.tobytes())
@@ -224,7 +230,7 @@ def ordered_sets(docs: DataFrame, order, marked, words: int) -> DataFrame:
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of common values of each set on the left with each on the right, by products of 0/1 blocks."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     if not left or not right:
         return out
     both = np.intersect1d(np.concatenate(left), np.concatenate(right))
@@ -243,7 +249,7 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         for m, r, c in ((a, rl, cl), (b, rr, cr)):
             of = (c >= lo) & (c < lo + _CHUNK)
             m[r[of], c[of] - lo] = 1
-        out += a @ b.T
+        out += (a @ b.T).astype(np.int64)  # whole numbers, _CHUNK at most
     return out
 
 
@@ -253,7 +259,7 @@ def tile_links(t: pa.Table) -> pa.Table:
     ids, side = t.column("set_id").to_numpy(), t.column("side").to_numpy()
     _, first = np.unique(np.stack([ids, side]), axis=1, return_index=True)
     mult = t.column("mult").to_numpy()
-    n, m = (t.column(c).to_numpy().astype(np.int32) for c in ("n", "matches"))
+    n, m = (t.column(c).to_numpy() for c in ("n", "matches"))
     raw = t.column("shingles")
     sets = {k: np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in first}
     left = [k for k in first if side[k] <= 0]
@@ -270,8 +276,8 @@ def tile_links(t: pa.Table) -> pa.Table:
         enough &= ids[left][:, None] != ids[right][None, :]
         rows, cols = np.flatnonzero(enough.any(1)), np.flatnonzero(enough.any(0))
         if len(rows):
-            both = shared([sets[left[i]] for i in rows], [sets[right[j]] for j in cols])  # whole numbers below 2**24
-            near = (BELOW + ABOVE) * both.astype(np.int32) >= ABOVE * (nl[rows][:, None] + nr[cols][None, :])
+            both = shared([sets[left[i]] for i in rows], [sets[right[j]] for j in cols])
+            near = (BELOW + ABOVE) * both >= ABOVE * (nl[rows][:, None] + nr[cols][None, :])
             near &= enough[np.ix_(rows, cols)]
             a, b = ids[left][rows], ids[right][cols]
             for ids_, count in ((a, near @ mult[right][cols]), *(() if alone else ((b, near.T @ mult[left][rows]),))):
@@ -283,28 +289,35 @@ def tile_links(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b", "n"])
 
 
-def tiles(members: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
+def tiles(members: DataFrame, met: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """The sets of members in every tile that they belong to: side -1 in a tile of one block, else 0 and 1 for the two blocks.
 
-    A cluster of at most `tile` sets is one tile. Otherwise sets of similar size lie in the same or in neighbouring classes of sizes a factor of BELOW / ABOVE apart, so only
-    those meet; a class of a cluster is dealt into blocks of `tile` by hash.
+    A cluster of at most `tile` sets is one block. Otherwise the sets of a class of sizes (classes are a factor of
+    BELOW / ABOVE apart, so only sets of the same or of neighbouring classes can link) are dealt into blocks by their least
+    prefix shingle, which near copies nearly always have in common, and full blocks are dealt once more by hash. Two blocks
+    make a tile when they share as many different prefix shingles (`met`) as two of their sets would have to.
     """
-    blocks = F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / TILE_SHINGLES)).cast("int")
-    m = members.join(members.groupBy("cluster").agg(blocks.alias("whole")), "cluster")
+    many = lambda rows: F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("n") / TILE_SHINGLES)).cast("int").alias(rows)
+    least = met.groupBy("set_id").agg(F.min(F.xxhash64("h")).alias("first"), F.min("least").alias("least"))
+    m = members.join(members.groupBy("cluster").agg(many("whole")), "cluster").join(least, "set_id")
     own = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(BELOW / ABOVE))).cast("int")
-    m = m.withColumn("band", F.when(F.col("whole") == 1, F.lit(0)).otherwise(own)).drop("whole")  # a small cluster is one tile
-    sizes = m.groupBy("cluster", "band").agg(blocks.alias("blocks"))
-    by_band = sizes.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))  # a few dozen bands at most
-    m = m.join(by_band, "cluster").withColumn("k", F.pmod(F.xxhash64("set_id", "cluster"), F.element_at("blocks", F.col("band"))).cast("int"))
-    count = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
-    band, k = F.col("band"), F.col("k")
-    spread = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile_of = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    same = F.transform(spread(count(band)), lambda j: tile_of(band, band, F.least(j, k), F.greatest(j, k), F.when(j == k, -1).when(k < j, 0).otherwise(1)))
-    up = F.transform(spread(count(band + 1)), lambda j: tile_of(band, band + 1, k, j, F.lit(0)))
-    down = F.transform(spread(count(band - 1)), lambda j: tile_of(band - 1, band, j, k, F.lit(1)))
-    placed = m.select("set_id", "cluster", "mult", F.concat(same, up, down).alias("t"))
-    return placed.join(sets, "set_id").withColumn("t", F.explode("t")).select("cluster", "t.*", "set_id", "mult", "n", "matches", "shingles")
+    m = m.withColumn("band", F.when(F.col("whole") == 1, F.lit(0)).otherwise(own)).drop("whole")
+    m = m.join(m.groupBy("cluster", "band").agg(many("parts")), ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("first", "cluster"), F.col("parts")))
+    m = m.join(m.groupBy("cluster", "band", "part").agg(many("again")), ["cluster", "band", "part"])
+    block = F.struct("band", F.col("part").cast("long").alias("part"), F.pmod(F.xxhash64("set_id", "cluster"), F.col("again")).cast("long").alias("sub"))
+    m = checkpointed(m.select("set_id", "cluster", "mult", "least", block.alias("block")))
+    blocks = m.groupBy("cluster", "block").agg(F.min("least").alias("least"))
+    several = blocks.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster")
+    held = met.select("h", "set_id").join(m.join(several, "cluster"), "set_id").select("cluster", "h", "block").distinct()
+    x, y = held.select("cluster", "h", F.col("block").alias("lo")), held.select("cluster", "h", F.col("block").alias("hi"))
+    pairs = x.join(y, ["cluster", "h"]).where("lo < hi and hi.band - lo.band <= 1").groupBy("cluster", "lo", "hi").agg(F.count("*").alias("c"))
+    of = lambda end: blocks.select("cluster", F.col("block").alias(end), F.col("least").alias(f"least_{end}"))
+    pairs = pairs.join(of("lo"), ["cluster", "lo"]).join(of("hi"), ["cluster", "hi"]).where("c >= least(least_lo, least_hi)").select("cluster", "lo", "hi")
+    one = blocks.select("cluster", F.col("block").alias("lo"), F.col("block").alias("hi"))
+    ends = one.select("cluster", "lo", "hi", F.col("lo").alias("block"), F.lit(-1).alias("side"))
+    for side, end in enumerate(("lo", "hi")):
+        ends = ends.unionAll(pairs.select("cluster", "lo", "hi", F.col(end).alias("block"), F.lit(side).alias("side")))
+    return m.join(ends, ["cluster", "block"]).join(sets, "set_id").select("cluster", "lo", "hi", "side", "set_id", "mult", "n", "matches", "shingles")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) -> DataFrame:
@@ -335,8 +348,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
     clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(left, "set_id"))
-    discard(third)
-    links = checkpointed(tiles(members, sets, tile).groupBy("cluster", "lo", "hi", "i", "j").applyInArrow(tile_links, "a long, b long, n long"))
+    links = checkpointed(tiles(members, met, sets, tile).groupBy("cluster", "lo", "hi").applyInArrow(tile_links, "a long, b long, n long"))
+    discard(third, sets)
     counts = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n_linked"))
     reps = copies.select(F.col("set_id").alias("s"), "rep")
     edges = links.where("b is not null").join(reps, F.col("a") == F.col("s")).select(F.col("rep").alias("ra"), "b").join(reps, F.col("b") == F.col("s")).select(F.col("ra").alias("a"), F.col("rep").alias("b"))
