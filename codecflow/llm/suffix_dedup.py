@@ -10,12 +10,13 @@ tell, for every distance from the anchor, which strings occur more than once.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches, table
@@ -358,8 +359,9 @@ def removed(docs: DataFrame) -> DataFrame:
     groups = keyed.groupBy("m").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = checkpointed(keyed.join(groups, "m").groupBy("rid").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies")))
     all_anchors = anchors(bodied).join(copies, "rid", "left").where("rep is null or rep = rid").select("h", "rid", "pos", "lo", "hi")
-    n = F.count("*").over(Window.partitionBy("h"))
-    repeated = all_anchors.withColumn("n", n).where("n > 1").select("rid", F.struct("h", "pos", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("a"))
+    # anchors are counted before they are shuffled, and a common anchor's share of the join can be split
+    often = all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = all_anchors.join(often, "h").select("rid", F.struct("h", "pos", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("a"))
     by_text = repeated.groupBy("rid").agg(F.collect_list("a").alias("found"))  # bounded by the text's length
     # Both uses of the texts take whole rows, so that one exchange serves both.
     dealt = rows.repartition("rid")
@@ -412,20 +414,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Bytes of characters that a cut has torn apart go with it, so that what is left is text. A null text stays null.
     """
     got = removed(docs)
-    schema = docs.withColumn("__left", F.lit("")).schema
+    left_name = next(f"__left{i}" for i in itertools.count() if f"__left{i}" not in docs.columns)
+    schema = docs.withColumn(left_name, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column("row")
             cuts = zip(bodies(rows).to_pylist(), b.column("spans").to_pylist(), b.column("copies").to_pylist())
             left = [cut(body or b"", spans, copies)[0].decode("utf-8", "ignore") for body, spans, copies in cuts]
-            yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(left, pa.string())], [*(f.name for f in rows.type), "__left"])
+            yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(left, pa.string())], [*(f.name for f in rows.type), left_name])
 
     out = got.mapInArrow(run, schema)
-    changed = {"text": F.when(F.col("text").isNull(), None).otherwise(F.col("__left"))}
+    changed = {"text": F.when(F.col("text").isNull(), None).otherwise(F.col(left_name))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(F.coalesce("__left", F.lit(""))).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(changed).drop("__left")
+        changed["n_chars"] = F.length(F.coalesce(F.col(left_name), F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(changed).drop(left_name)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

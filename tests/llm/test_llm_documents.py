@@ -178,7 +178,7 @@ def talk():
 
 @pytest.mark.parametrize("size", [1 << 20, 200])
 def test_chat(spark, size, monkeypatch):
-    monkeypatch.setattr(chat, "TREE_CHARS", size)
+    monkeypatch.setattr(chat, "TREE_TOKENS", size)
     turns = talk()
     df = spark.createDataFrame([(*t, "n", 1) for t in turns], "conv_id long, turn long, role string, text string, tree string, n int")
     by = collections.defaultdict(list)
@@ -201,16 +201,29 @@ def test_chat(spark, size, monkeypatch):
             if r["is_leaf"]:
                 continue
             del path[r["depth"] :]
-            assert r["start"] == place and r["position"] == sum(len(x["text"]) for x in path)
+            above = sum(len(x["tokens"]) for x in path)
+            assert r["start"] == place and r["positions"] == list(range(above, above + len(r["tokens"])))
             path.append(r)
             seen = {k for i in r["intervals"] for k in range(i["lo"], i["hi"])}
-            assert seen == {k for x in path for k in range(x["start"], x["start"] + len(x["text"]))}
-            place += len(r["text"])
+            assert seen == {k for x in path for k in range(x["start"], x["start"] + len(x["tokens"]))}
+            place += len(r["tokens"])
     if size > 200 and spark.sparkContext.defaultParallelism:
         assert sum(not r["is_leaf"] for rows in trees.values() for r in rows) < len(turns)
     assert chat.read_back(chat.prefix_trees(df.limit(0))).isEmpty()
 
 
+def test_shared_turns_at_any_depth(spark):
+    said = lambda c: [(c, n, ("user", "assistant")[n % 2], f"turn {n}") for n in range(9 if c != 2 else 8)] + ([(2, 8, "user", "else")] if c == 2 else [])
+    df = spark.createDataFrame([t for c in (1, 2, 3) for t in said(c)], "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so that no border between tasks cuts the tree
+    try:
+        nodes = chat.prefix_trees(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(not x["is_leaf"] for x in nodes) == 10 and sum(x["is_leaf"] for x in nodes) == 3
+
+
 def test_escapes():
     for t in ("", "\\", "###", "</turn>\n", ": \\### a: b</turn>", "\\\\#"):
         assert chat.unescape(chat.escape(t)) == t
