@@ -89,14 +89,19 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, by similarity; between 0 and 1."""
+        """Share of label 1 among the nearest labelled vectors, by similarity; between 0 and 1.
+
+        Vectors as similar as the last of the nearest vote too, so that ties never depend on an order.
+        """
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         sims = self.latent(rows) @ self.vectors.T
         k = min(self.neighbours, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(sims, near, 1).astype(float), 0) ** 8 + 1e-9
-        return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
+        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        row, near = np.nonzero(sims >= last[:, None])
+        weight = np.maximum(sims[row, near].astype(float), 0) ** 8 + 1e-9
+        votes, all_ = (np.bincount(row, weights=w, minlength=len(rows)) for w in (weight * self.labels[near], weight))
+        return np.clip(votes / all_, 0, 1)
 
 
 def train(rows: np.ndarray, labels: np.ndarray, latent: int = LATENT, neighbours: int = NEIGHBOURS) -> Model:
@@ -124,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     docs = documents(docs)
     marked = labels.where("doc_id is not null and quality is not null").groupBy(labels["doc_id"].cast("long").alias("__id")).agg(F.min("quality").alias("quality"))
     marked = marked.where(F.pmod(crc32_of_id(F.col("__id")), F.lit(FOLDS)) != HELD)
+    marked = marked.join(docs.select("doc_id").where("doc_id is not null"), F.col("__id") == F.col("doc_id"), "left_semi")  # what an earlier stage took away is no label
     chosen = marked.where("quality = 1").orderBy(F.xxhash64("__id"), "__id").limit(per_class).unionAll(marked.where("quality <> 1").orderBy(F.xxhash64("__id"), "__id").limit(per_class))
     sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("doc_id", "text", F.col("quality").cast("int"))  # 2 * per_class rows
 

@@ -333,6 +333,25 @@ def test_classifier(spark):
     assert quality_classifier.classify(docs(spark, []), marked).isEmpty()
 
 
+def test_votes_equal_a_plain_count_with_ties():
+    r = np.random.default_rng(6)
+    rows = np.abs(r.normal(size=(60, quality_classifier.TERMS))).astype(np.float32)
+    rows[10:30] = rows[:1]  # twenty alike, on both sides of the last neighbour
+    labels = (np.arange(60) % 3 == 0).astype(float)
+    model = quality_classifier.train(rows, labels, latent=8, neighbours=5)
+    got = model.score(rows)
+    sims = model.latent(rows) @ model.vectors.T
+    for i in range(60):
+        order = sorted(range(60), key=lambda j: -sims[i, j])
+        near = [j for j in range(60) if sims[i, j] >= sims[i, order[4]]]
+        weight = [max(float(sims[i, j]), 0.0) ** 8 + 1e-9 for j in near]
+        assert math.isclose(got[i], min(1, sum(w * labels[j] for w, j in zip(weight, near)) / sum(weight)), abs_tol=1e-9)
+    back = r.permutation(60)
+    other = quality_classifier.train(rows, labels, latent=8, neighbours=5)
+    other.vectors, other.labels = other.vectors[back], other.labels[back]
+    assert np.allclose(other.score(rows), got, atol=1e-5)  # whatever the order of the labelled vectors
+
+
 def test_held_out_labels_are_never_learnt(spark):
     r = random.Random(6)
     df = docs(spark, [(i, " ".join(r.choice("abcdef") for _ in range(20))) for i in range(200)])
