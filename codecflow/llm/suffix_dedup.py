@@ -359,8 +359,8 @@ def removed(docs: DataFrame) -> DataFrame:
     groups = keyed.groupBy("m").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = checkpointed(keyed.join(groups, "m").groupBy("rid").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies")))
     all_anchors = anchors(bodied).join(copies, "rid", "left").where("rep is null or rep = rid").select("h", "rid", "pos", "lo", "hi")
-    # anchors are counted before they are shuffled, and a common anchor's share of the join can be split
-    often = all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # anchors are counted before they are shuffled; the join of two plain tables can be split where an anchor is common
+    often = checkpointed(all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     repeated = all_anchors.join(often, "h").select("rid", F.struct("h", "pos", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("a"))
     by_text = repeated.groupBy("rid").agg(F.collect_list("a").alias("found"))  # bounded by the text's length
     # Both uses of the texts take whole rows, so that one exchange serves both.
