@@ -214,6 +214,59 @@ def blind_trie(numbers: list[int], width: int, members: list[int]) -> tuple[list
     return order, common
 
 
+def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, start): rows of words in order of their words from the left; start marks places whose row differs from the one before.
+
+    Every group of rows that agree up to their group's word is parted by a pivot into smaller, equal and larger ones; equal
+    ones go on with the next word. All groups take their next step together, and equal rows stay in the order they came in.
+    """
+    n, width = words.shape
+    order, level, start = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    start[:1] = True
+    pick = np.random.default_rng(n)  # pivots decide how many steps are needed, never the result
+    while True:
+        first = np.flatnonzero(start)
+        size = np.diff(np.r_[first, n])
+        live = np.repeat((size > 1) & (level[first] < width), size)
+        live = np.flatnonzero(live)
+        if not len(live):
+            return order, start
+        begins = start[live]
+        first = np.flatnonzero(begins)
+        size = np.diff(np.r_[first, len(live)])
+        group = np.cumsum(begins) - 1
+        rows = order[live]
+        w = words[rows, level[live]]
+        x, y, z = (w[first + (pick.random(len(first)) * size).astype(np.int64)] for _ in range(3))
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[group]
+        below, above = w < pivot, w > pivot
+        # each side's rows keep their order behind the sides before it
+        sides = (below, ~(below | above), above)
+        base, place = first.copy(), np.empty(len(live), np.int64)
+        for side in sides:
+            upto = np.cumsum(side)
+            before = upto[first] - side[first]
+            place[side] = (base[group] + upto - 1 - before[group])[side]
+            held = np.add.reduceat(side.astype(np.int64), first)
+            start[live[base[held > 0]]] = True
+            base = base + held
+        order[live[place]] = rows
+        level[live[place[sides[1]]]] += 1
+
+
+def common_bytes(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row of words, in order, shares from the left with the one before, 0 for the first."""
+    differ = words[order[1:]] ^ words[order[:-1]]
+    k = (differ != 0).argmax(axis=1) if len(differ) else np.zeros(0, np.int64)
+    x = differ[np.arange(len(differ)), k]
+    bits = np.zeros(len(x), np.int64)
+    for s in (32, 16, 8):
+        up = (x >> np.uint64(s)) > 0
+        bits += np.where(up, s, 0)
+        x = np.where(up, x >> np.uint64(s), x)
+    return np.r_[0, np.where(x > 0, 8 * k + 7 - bits // 8, 8 * words.shape[1])]
+
+
 def deep_shallow(strings: list[bytes], width: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): the strings' order, padded with zeros to `width`, and the common prefix of each with the one before.
 
@@ -221,39 +274,18 @@ def deep_shallow(strings: list[bytes], width: int, shallow: int) -> tuple[np.nda
     still equal there.
     """
     n = len(strings)
-    words = shallow // 8
-    table_ = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, words).astype(np.uint64)
-    order, common = np.arange(n), np.zeros(n, np.int64)
-    group = np.zeros(n, np.int64)  # of each place in order
-    for k in range(words):
-        sizes = np.bincount(group, minlength=n)
-        live = np.flatnonzero(sizes[group] > 1)
-        if not len(live):
-            break
-        w = table_[order[live], k]
-        by = np.lexsort((w, group[live]))
-        order[live], w = order[live][by], w[by]
-        same = np.r_[False, group[live][1:] == group[live][:-1]]
-        parts = same & np.r_[False, w[1:] != w[:-1]]
-        x = w[parts] ^ w[np.flatnonzero(parts) - 1]
-        bits = np.zeros(len(x), np.int64)
-        for s in (32, 16, 8):
-            up = (x >> np.uint64(s)) > 0
-            bits += np.where(up, s, 0)
-            x = np.where(up, x >> np.uint64(s), x)
-        common[live[parts]] = 8 * k + 7 - bits // 8
-        start = np.r_[True, group[1:] != group[:-1]]
-        start[live[parts]] = True
-        group = np.cumsum(start) - 1
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    words = np.frombuffer(b"".join([s[:shallow].ljust(shallow, b"\0") for s in strings]), ">u8").reshape(n, shallow // 8).astype(np.uint64)
+    order, start = multikey_quicksort(words)
+    common = common_bytes(words, order)
+    first = np.flatnonzero(start)
     last = np.r_[first[1:], n]
-    for lo, hi in zip(first.tolist(), last.tolist()):
-        if hi - lo > 1:
-            members = order[lo:hi].tolist()
-            numbers = {m: int.from_bytes(strings[m].ljust(width, b"\0"), "big") for m in members}
-            got, shared = blind_trie(numbers, width, members)
-            order[lo:hi] = got
-            common[lo + 1 : hi] = shared[1:]
+    wide = last - first > 1
+    for lo, hi in zip(first[wide].tolist(), last[wide].tolist()):
+        members = order[lo:hi].tolist()
+        numbers = {m: int.from_bytes(strings[m].ljust(width, b"\0"), "big") for m in members}
+        got, shared = blind_trie(numbers, width, members)
+        order[lo:hi] = got
+        common[lo + 1 : hi] = shared[1:]
     return order, common
 
 

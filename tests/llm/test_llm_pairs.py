@@ -264,3 +264,15 @@ def test_deep_shallow_order():
     assert got == sorted(padded)
     for a, b, c in zip(got, got[1:], common[1:]):
         assert c == next((k for k in range(64) if a[k] != b[k]), 64)
+
+
+@pytest.mark.parametrize("n, letters", [(0, 2), (1, 2), (2, 1), (500, 1), (500, 2), (3000, 250)])
+def test_multikey_quicksort(n, letters):
+    words = np.random.default_rng(7).integers(0, letters, (n, 3)).astype(np.uint64) << np.uint64(56 if letters == 250 else 8)
+    order, start = suffix_dedup.multikey_quicksort(words)
+    rows = [tuple(r) for r in words.tolist()]
+    assert order.tolist() == sorted(range(n), key=lambda i: rows[i])  # equal rows as they came
+    assert start.tolist() == [i == 0 or rows[order[i]] != rows[order[i - 1]] for i in range(n)]
+    spelled = [b"".join(x.to_bytes(8, "big") for x in r) for r in rows]
+    shared = [0, *(next((k for k in range(24) if spelled[a][k] != spelled[b][k]), 24) for a, b in zip(order, order[1:]))]
+    assert not n or suffix_dedup.common_bytes(words, order).tolist() == shared
