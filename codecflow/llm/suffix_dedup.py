@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, discard, small_batches, table
 
 LENGTH, GRAM = 200, 32
 #: Windows in a string: each string has its anchor among so many places.
@@ -32,6 +32,8 @@ HOT = 100_000
 _SEGMENT, _SORTED = 1 << 18, 1 << 23
 _Q = 0x9E3779B97F4A7C15
 _MASK = (1 << 20) - 1
+#: A place in one long: position, whether the anchor is hot, least and greatest distance from a string's start.
+_POS, _HOT, _LO, _BYTE = 17, 1 << 16, 8, 255
 
 
 def _powers(q: int, n: int) -> np.ndarray:
@@ -41,6 +43,14 @@ def _powers(q: int, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of windows, from their polynomials."""
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Anchors:
     """Anchors of byte strings: places, hashes, and the range of distances from a string's start to its anchor."""
 
@@ -60,10 +70,7 @@ class Anchors:
         with np.errstate(over="ignore"):
             s = np.zeros(n + 1, np.uint64)
             np.cumsum(data.astype(np.uint64) * self.up[:n] + self.up[:n], out=s[1:])
-            h = (s[GRAM:] - s[:-GRAM]) * self.down[: n - GRAM + 1]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
+            h = _mixed((s[GRAM:] - s[:-GRAM]) * self.down[: n - GRAM + 1])
         v = (h & ~np.uint64(_MASK)) | np.arange(len(h), dtype=np.uint64)
         pad = -len(v) % SPAN
         blocks = np.r_[v, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))].reshape(-1, SPAN)
@@ -81,6 +88,14 @@ class Anchors:
         place = at[new]
         return place, h[place].view(np.int64), place - start[last], place - start[new]
 
+    def at(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The hashes of the windows of data that begin at the places."""
+        h = np.zeros(len(places), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(GRAM):
+                h += (data[places + k].astype(np.uint64) + np.uint64(1)) * self.up[k]
+            return _mixed(h).view(np.int64)
+
 
 def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
     """(bytes, ends, [(text, offset)]): the texts in pieces of bounded size; long ones overlap by a string less one byte."""
@@ -103,8 +118,7 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(h, rid, pos, lo, hi) of rows(rid, body)."""
-    names = ["h", "rid", "pos", "lo", "hi"]
+    """(h, rid, at) of rows(rid, body); at is the packed place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors()
@@ -115,9 +129,14 @@ def anchors(rows: DataFrame) -> DataFrame:
                 part = np.searchsorted(ends, place, side="right")
                 text, offset = (np.array([w[k] for w in where], np.int64) for k in (0, 1))
                 pos = place - np.r_[0, ends[:-1]][part] + offset[part]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[text[part]]), pa.array(pos), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[text[part]]), pa.array(pos << _POS | lo << _LO | hi)], ["h", "rid", "at"])
 
-    return rows.select("rid", "body").mapInArrow(run, "h long, rid long, pos long, lo int, hi int")
+    return rows.select("rid", "body").mapInArrow(run, "h long, rid long, at long")
+
+
+def unpacked(at) -> tuple:
+    """(position, least distance, greatest distance) of packed places, as numbers or arrays."""
+    return at >> _POS, at >> _LO & _BYTE, at & _BYTE
 
 
 def bodies(rows: pa.StructArray) -> pa.Array:
@@ -126,14 +145,15 @@ def bodies(rows: pa.StructArray) -> pa.Array:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """rows(rid, row, found array<struct<h,pos,lo,hi,hot>>) -> (h, rid, pos, lo, hi, context, hot).
+    """rows(rid, row, found array<long>) -> (h, rid, at, context); found holds packed places.
 
     A context that a text holds twice is passed on once; both places come without context: they are known to be repeated.
     """
-    names = ["h", "rid", "pos", "lo", "hi", "context", "hot"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    names = ["h", "rid", "at", "context"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Anchors()
         for b in batches:
             out: list[list] = [[] for _ in names]
             size = 0
@@ -142,28 +162,35 @@ def contexts(rows: DataFrame) -> DataFrame:
                 for x, v in zip(out, row):
                     x.append(v)
 
-            for rid, body, found in zip(b.column("rid").to_pylist(), bodies(b.column("row")), b.column("found")):
-                body, seen = body.as_py() or b"", {}
-                for a in found.as_py():
-                    pos, lo, hi = a["pos"], a["lo"], a["hi"]
+            texts = [x or b"" for x in bodies(b.column("row")).to_pylist()]
+            found = b.column("found")
+            places = found.flatten().to_numpy()
+            n = found.value_lengths().to_numpy()
+            begins = np.repeat(np.cumsum([0, *map(len, texts)])[:-1], n)
+            hashes = find.at(np.frombuffer(b"".join(texts), np.uint8), begins + unpacked(places)[0]).tolist()
+            places, upto = places.tolist(), np.cumsum(n).tolist()
+            for rid, body, first, last in zip(b.column("rid").to_pylist(), texts, [0, *upto], upto):
+                seen: dict[tuple[int, bytes], int] = {}
+                for h, at in zip(hashes[first:last], places[first:last]):
+                    pos, lo, hi = unpacked(at)
                     context = body[pos - hi : pos - lo + LENGTH]
                     before = seen.get((hi, context))
                     if before is None:
-                        seen[hi, context] = pos
-                        put(a["h"], rid, pos, lo, hi, context, a["hot"])
+                        seen[hi, context] = at
+                        put(h, rid, at, context)
                         size += len(context)
                     else:
                         if before >= 0:
-                            put(a["h"], rid, before, lo, hi, None, False)
+                            put(h, rid, before, None)
                             seen[hi, context] = -1
-                        put(a["h"], rid, pos, lo, hi, None, False)
+                        put(h, rid, at, None)
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
                     out[:] = [[] for _ in names]
                     size = 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    return rows.select("rid", "row", "found").mapInArrow(run, "h long, rid long, pos long, lo int, hi int, context binary, hot boolean")
+    return rows.select("rid", "row", "found").mapInArrow(run, "h long, rid long, at long, context binary")
 
 
 def blind_trie(numbers: list[int], width: int, members: list[int]) -> tuple[list[int], list[int]]:
@@ -333,7 +360,8 @@ def repeated_spans(found: DataFrame) -> DataFrame:
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        rid, pos, lo, hi = (t.column(c).to_numpy() for c in ("rid", "pos", "lo", "hi"))
+        rid = t.column("rid").to_numpy()
+        pos, lo, hi = unpacked(t.column("at").to_numpy())
         low, high = repeated_distances(lo, hi, t.column("context").to_pylist())
         hit = low <= high
         return pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(pos[hit] - high[hit]), pa.array(pos[hit] - low[hit] + LENGTH)], names)
@@ -356,10 +384,13 @@ def repeated_spans(found: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    ordered = found.where("context is not null and not hot").select("h", "rid", "pos", "lo", "hi", "context").repartition("h").sortWithinPartitions("h")
+    hot = F.col("at").bitwiseAND(_HOT) != 0
+    whole = F.col("context").isNotNull()
+    ordered = found.where(whole & ~hot).select("h", "rid", "at", "context").repartition("h").sortWithinPartitions("h")
     sorted_ = ordered.mapInArrow(run, "rid long, s long, e long")
-    known = found.where("context is null").select("rid", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + LENGTH).alias("e"))
-    return sorted_.unionByName(known).unionByName(hot_spans(found.where("context is not null and hot")))
+    pos, lo, hi = F.shiftright("at", _POS), F.shiftright("at", _LO).bitwiseAND(_BYTE), F.col("at").bitwiseAND(_BYTE)
+    known = found.where(~whole).select("rid", (pos - hi).alias("s"), (pos - lo + LENGTH).alias("e"))
+    return sorted_.unionByName(known).unionByName(hot_spans(found.where(whole & hot)))
 
 
 def hot_spans(found: DataFrame) -> DataFrame:
@@ -368,12 +399,13 @@ def hot_spans(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rids, starts, prints = [], [], []
-            for rid, pos, lo, hi, context in zip(*(b.column(c).to_pylist() for c in ("rid", "pos", "lo", "hi", "context"))):
+            for rid, at, context in zip(*(b.column(c).to_pylist() for c in ("rid", "at", "context"))):
+                pos, lo, hi = unpacked(at)
                 for k in range(hi - lo + 1):
                     rids.append(rid), starts.append(pos - hi + k), prints.append(xxhash.xxh3_128_digest(context[k : k + LENGTH]))
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(starts, pa.int64()), pa.array(prints, pa.binary())], ["rid", "s", "print"])
 
-    prints = found.select("rid", "pos", "lo", "hi", "context").mapInArrow(run, "rid long, s long, print binary")
+    prints = found.select("rid", "at", "context").mapInArrow(run, "rid long, s long, print binary")
     twice = prints.groupBy("print").count().where("count > 1").select("print")
     return prints.join(twice, "print").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
 
@@ -390,11 +422,13 @@ def removed(docs: DataFrame) -> DataFrame:
     keyed = bodied.select("rid", F.md5("body").alias("m"))
     groups = keyed.groupBy("m").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = checkpointed(keyed.join(groups, "m").groupBy("rid").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies")))
-    all_anchors = anchors(bodied).join(copies, "rid", "left").where("rep is null or rep = rid").select("h", "rid", "pos", "lo", "hi")
+    # Anchors are found once. Each step ends in a table, so that its shuffle files go before the texts are shuffled.
+    all_anchors = checkpointed(anchors(bodied).join(copies, "rid", "left").where("rep is null or rep = rid").select("h", "rid", "at"))
     # anchors are counted before they are shuffled; the join of two plain tables can be split where an anchor is common
     often = checkpointed(all_anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    repeated = all_anchors.join(often, "h").select("rid", F.struct("h", "pos", "lo", "hi", (F.col("n") > HOT).alias("hot")).alias("a"))
-    by_text = repeated.groupBy("rid").agg(F.collect_list("a").alias("found"))  # bounded by the text's length
+    repeated = all_anchors.join(often, "h").select("rid", (F.col("at") + F.when(F.col("n") > HOT, _HOT).otherwise(0)).alias("at"))
+    by_text = checkpointed(repeated.groupBy("rid").agg(F.collect_list("at").alias("found")))  # bounded by the text's length
+    discard(all_anchors, often)
     # Both uses of the texts take whole rows, so that one exchange serves both.
     dealt = rows.repartition("rid")
     spans = repeated_spans(contexts(dealt.join(by_text, "rid", "left").where("found is not null")))
