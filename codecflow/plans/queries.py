@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checksums, detect
 from ..operators import archives, codecs, relational
 from ..sources.objects import objects
+from ..tables import kept
 from . import distributed, layout, ranges
 from .dealing import deal, spread
 
@@ -287,7 +288,8 @@ def range_read(spark, sf_dir):
 def scan_marks(spark, sf_dir):
     coded = _coded_bundles(spark, sf_dir)
     of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
-    m = layout.marks_in_chunks(coded, chunk=SMALL_CHUNK).groupBy("path").agg(F.min(of("stream", "bit_offset")).alias("stream_bit"), F.min(of("block", "bit_offset")).alias("first_block_bit"), F.count(of("stream", "path")).alias("streams"), F.count(of("end", "path")).alias("ends"), (F.max(of("end", "bit_offset")) > F.max(of("block", "bit_offset"))).alias("end_is_last"), F.count(of("block", "path")).alias("n"))
+    found = relational.with_sound_streams(kept(layout.marks_in_chunks(coded, chunk=SMALL_CHUNK)))
+    m = found.groupBy("path").agg(F.min(of("stream", "bit_offset")).alias("stream_bit"), F.min(of("block", "bit_offset")).alias("first_block_bit"), F.count(of("stream", "path")).alias("streams"), F.count(of("end", "path")).alias("ends"), (F.max(of("end", "bit_offset")) > F.max(of("block", "bit_offset"))).alias("end_is_last"), F.count(of("block", "path")).alias("n"))
     plain = _bundles(spark, sf_dir).select("path", F.octet_length("plain").alias("len"))
     # a block of level 1 takes 99,981 bytes after run-length coding, which adds a quarter at most
     return m.join(plain, "path").select("path", "stream_bit", "first_block_bit", "streams", "ends", "end_is_last", ((F.col("n") >= 1) & (F.col("n") <= F.ceil(F.col("len") * 1.25 / 99_981))).alias("blocks_enough"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codecflow import errors
 from codecflow.functions import checksums, detect
 from codecflow.operators import archives, bzip2, codecs, relational
-from codecflow.plans import distributed, layout, ranges
+from codecflow.plans import distributed, layout, queries, ranges
 from codecflow.sources import objects, sinks
 from codecflow.streaming import streams
 
@@ -62,6 +62,17 @@ def test_parallel_bzip2(spark):
     assert rows(layout.marks(coded)) == rows(layout.marks_in_chunks(coded, chunk=10_000))
 
 
+def test_chance_headers_are_no_streams(spark, tmp_path):
+    text = "caaccaccacaacacacaaaacccccaccacaaaaaaaaaaaaaaaaa"  # its checksum is the four bytes of a stream header
+    coded = bz2.compress(text.encode(), 1)
+    assert coded.find(b"BZh5") == 10
+    spark.createDataFrame([(7, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(queries.queries()["scan_marks"](spark, str(tmp_path))) == [("0", 0, 32, 1, 1, True, True)]
+    twice = frame(spark, [coded + bz2.compress(b""), bz2.compress(b"")])
+    got = relational.with_sound_streams(layout.marks(twice)).where("kind = 'stream'")
+    assert rows(got.select("path", "bit_offset")) == [("0", 0), ("0", 8 * len(coded)), ("1", 0)]
+
+
 def test_index_and_ranges(spark):
     plain = patterned(350_000)
     coded = frame(spark, [bz2.compress(plain, 1)])
