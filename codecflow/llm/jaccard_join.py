@@ -3,7 +3,8 @@
 Shingles have one global order, rare ones first: a bounded list of the frequent ones comes from a first round over all
 documents in the order of hashes alone, the others are ordered by hash. Two sets of the wanted similarity share at least m shingles of their prefixes of length
 size - ceil(0.75 * size) + m, for every m. Each document has the m that its estimated candidate cost asks for, and a prefix
-of that length. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
+of that length. The first round deals prefixes to buckets as six bytes a shingle, packed into one row for each bucket and
+slice of a task's sets, and gets numbers of shingles met back: no posting is a row there. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
 through the shingles they share; there only pairs that share as many prefix shingles as the smaller m of the two are
 verified. Clusters are cut into blocks of sets with the same least prefix shingle, and of two blocks only those meet that
 share as many prefix shingles as any two of their sets must: so neither does a pair become a row, nor does a cluster meet in
@@ -20,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.dealing import tasks
 from .common import checkpointed, components, discard, documents, forest, one_thread, small_batches, table
-from .words import Hasher, distinct, slices
+from .words import Hasher, distinct, mixed, slices
 
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
@@ -39,6 +41,8 @@ MARK_BITS = 1 << 24
 _CHUNK = 2048
 #: Sets whose prefixes a task remembers to have passed on: copies in one task meet once.
 _SEEN = 200_000
+#: Shingles of all sets for each task of the first round, buckets for each task, sets and prefix shingles in a slice.
+TASK_SHINGLES, TASK_BUCKETS, SLICE_SETS, SLICE_SHINGLES = 1 << 21, 2, 1 << 16, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,18 +72,26 @@ class Shingles:
                 yield self.fold(w[lo : lo + k], k) if k else w[:0]
 
 
+def codes(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32 more bits of each shingle: what tells shingles apart in the first round. Two with one code only seem to
+    meet more often than they do."""
+    g = mixed(h)
+    return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(32) | g & np.uint64(0xFFFFFFFF)
+
+
 class Order:
-    """The global order of shingles: by known frequency, then by hash."""
+    """The global order of shingles: by the known frequency of their codes, then by hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        at = np.argsort(hashes)
-        self.hashes, self.counts = hashes[at], counts[at]
+    def __init__(self, known: np.ndarray, counts: np.ndarray, buckets: int = 1):
+        at = np.argsort(known)
+        self.known, self.counts, self.buckets = known[at], counts[at], buckets
 
     def frequency(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
+        if not len(self.known):
             return np.ones(len(s), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == s, self.counts[at], 1)
+        c = codes(s, self.buckets)
+        at = np.minimum(np.searchsorted(self.known, c), len(self.known) - 1)
+        return np.where(self.known[at] == c, self.counts[at], 1)
 
     def sorted(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = self.frequency(s)
@@ -132,12 +144,6 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long")
 
 
-def frequent_shingles(met: DataFrame, total: int) -> Order:
-    """Shingles that 1 / FREQUENT of all shingles are, by their numbers in the prefixes of all documents (written table)."""
-    rows = met.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= max(LEAST_FREQUENT, -(-total // FREQUENT))).toArrow()
-    return Order(rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy())
-
-
 PREFIXES = "set_id long, least int, prefix array<long>"
 
 
@@ -155,24 +161,118 @@ def prefixes(sets: Iterator[np.ndarray], ids: list[int], order: Order) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(least, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["set_id", "least", "prefix"])
 
 
-def prefixes_of_texts(docs: DataFrame, words: int) -> DataFrame:
-    """Prefixes of all documents in the order of hashes alone."""
+def dealt(docs: DataFrame, marked, buckets: int, words: int) -> DataFrame:
+    """Prefixes of the documents that `marked` does not rule out, in the order of hashes alone.
+
+    For each slice of sets, and bucket: the low halves of codes and the numbers of their sets in the slice; and once, with a
+    number behind those of the buckets, set_id and `least` of the sets.
+    """
+    bits = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS)).alias("at")
+
+    def slice_(number: int, task: int, sets: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        code = codes(np.concatenate([p for _, _, p in sets]).view(np.uint64), buckets)
+        own = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(p) for _, _, p in sets])
+        by = np.argsort(code)
+        code, own = code[by], own[by]
+        bucket, first = np.unique((code >> np.uint64(32)).astype(np.int64), return_index=True)
+        low, ends = code.astype(np.uint32), [*first[1:].tolist(), len(code)]
+        lows = [low[i:j].tobytes() for i, j in zip(first.tolist(), ends)] + [np.array([i for i, _, _ in sets], np.int64).tobytes()]
+        owns = [own[i:j].tobytes() for i, j in zip(first.tolist(), ends)] + [np.array([n for _, n, _ in sets], np.int32).tobytes()]
+        to = [*bucket.tolist(), buckets + task % buckets]
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([task << 32 | number] * len(to), pa.int64()), pa.array(lows, pa.binary()), pa.array(owns, pa.binary())], ["bucket", "slice", "low", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, by = Shingles(words), Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        shingles, by, bitmap = Shingles(words), Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)), marked.value
         seen: set[int] = set()
-        for b in slices(batches, 0):
+        sets: list[tuple[int, int, np.ndarray]] = []
+        number = held = task = 0
+        for b in slices(batches, 2):
+            task, at = b.column(0)[0].as_py(), b.column(1).to_numpy()
+            maybe = np.flatnonzero(bitmap[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
             new = {}
-            for s in shingles.of(b.column(0)):
+            for s in shingles.of(b.column(2).take(pa.array(maybe))):
                 i = set_id(s)
                 if i not in seen:
                     new[i] = s
             if len(seen) > _SEEN:
                 seen.clear()
             seen.update(new)
-            yield prefixes(new.values(), list(new), by)
+            got = prefixes(new.values(), list(new), by)
+            values, ends = got.column(2).flatten().to_numpy(), got.column(2).offsets.to_numpy()
+            for k, (i, least) in enumerate(zip(got.column(0).to_pylist(), got.column(1).to_pylist())):
+                p = values[ends[k] : ends[k + 1]]
+                if sets and (len(sets) == SLICE_SETS or held + len(p) > SLICE_SHINGLES):
+                    yield slice_(number, task, sets)
+                    sets, number, held = [], number + 1, 0
+                sets.append((i, least, p))
+                held += len(p)
+        if sets:
+            yield slice_(number, task, sets)
+
+    return docs.select(F.spark_partition_id().cast("long").alias("task"), bits, "text").mapInArrow(run, "bucket long, slice long, low binary, own binary")
+
+
+def counted(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
+    """What each bucket of dealt() tells: by slice, the numbers of the sets of shingles that came before (own), once for each
+    such shingle; without a slice, codes (low) that came `frequent` times and their counts (own). Rows about sets stay, with
+    their `low`."""
 
-    return docs.select("text").mapInArrow(run, PREFIXES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        out = lambda *c: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(c, (pa.int64(), pa.binary(), pa.binary()))], ["slice", "low", "own"])
+        for b in batches:
+            for bucket, part, low, own in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket >= buckets:
+                    yield out(part, low, own)
+                else:
+                    held.setdefault(bucket, []).append((part, low, own))
+        for bucket in list(held):
+            parts = held.pop(bucket)
+            every = np.concatenate([np.frombuffer(low, np.uint32) for _, low, _ in parts])
+            every.sort()
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            value, n = every[first], np.diff(np.r_[first, len(every)])
+            met, often = value[n > 1], n >= frequent
+            del every, first
+            if often.any():
+                yield out(None, (value[often].astype(np.uint64) | np.uint64(bucket << 32)).tobytes(), n[often].astype(np.int64).tobytes())
+            if len(met):
+                for part, low, own in parts:
+                    low = np.frombuffer(low, np.uint32)
+                    hit = met[np.minimum(np.searchsorted(met, low), len(met) - 1)] == low
+                    if hit.any():
+                        yield out(part, None, np.frombuffer(own, np.uint16)[hit].tobytes())
+
+    return rows.mapInArrow(run, "slice long, low binary, own binary")
+
+
+def sociable(t: pa.Table) -> pa.Table:
+    """set_id of the sets of one slice that share enough of their prefixes with others."""
+    low, own = t.column("low").to_pylist(), t.column("own").to_pylist()
+    at = next(k for k, x in enumerate(low) if x is not None)
+    ids, least = np.frombuffer(low[at], np.int64), np.frombuffer(own[at], np.int32)
+    n = np.zeros(len(ids), np.int64)
+    for k, x in enumerate(own):
+        if k != at:
+            n += np.bincount(np.frombuffer(x, np.uint16), minlength=len(ids))
+    return pa.table([pa.array(ids[n >= least], pa.int64())], names=["set_id"])
+
+
+def first_round(docs: DataFrame, copies: DataFrame, total: int, words: int) -> tuple[DataFrame, Order]:
+    """set_id of the sets that share enough of their prefixes with others to have a partner (and of a few more), and the order
+    that follows from the shingles that came often there, at most FREQUENT of them.
+
+    One of the copies of each set takes part, and whichever others the bitmap does not rule out.
+    """
+    spark = docs.sparkSession
+    n = max(tasks(docs), -(-total // TASK_SHINGLES))
+    buckets, marked = n * TASK_BUCKETS, spark.sparkContext.broadcast(marks(copies.select(F.col("rep").alias("id"))))  # MARK_BITS bits
+    rows = checkpointed(counted(dealt(docs, marked, buckets, words).repartition(n, "bucket"), buckets, max(LEAST_FREQUENT, -(-total // FREQUENT))))
+    often = rows.where("slice is null").select("low", "own").toArrow()
+    known, counts = (np.frombuffer(b"".join(often.column(c).to_pylist()), t) for c, t in (("low", np.uint64), ("own", np.int64)))
+    able = checkpointed(rows.where("slice is not null").groupBy("slice").applyInArrow(sociable, "set_id long").distinct())
+    discard(rows)
+    return able, Order(known, counts, buckets)
 
 
 def prefixes_of_sets(sets: DataFrame, order) -> DataFrame:
@@ -331,13 +431,13 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     docs = documents(docs)
     found = checkpointed(surveyed(docs, words))
     able = found.where("n > 0 and doc_id is not null")
-    copies = able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min("n").alias("n"))
+    copies = checkpointed(able.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.min("n").alias("n")))
     named = docs.where("doc_id is not null")
     # First by hash order: few sets share enough of their prefixes to have a partner. What came often there is frequent.
-    first, met = meeting(prefixes_of_texts(named, words).select(F.explode("prefix").alias("h"), "set_id", "least"))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    order = spark.sparkContext.broadcast(frequent_shingles(first, total))  # at most FREQUENT entries
-    left = checkpointed(met.select("set_id").distinct().join(copies, "set_id"))
+    first, known = first_round(named, copies, total, words)
+    order = spark.sparkContext.broadcast(known)
+    left = checkpointed(first.join(copies, "set_id"))
     discard(first)
     marked = spark.sparkContext.broadcast(marks(left.select(F.col("rep").alias("id"))))  # MARK_BITS bits
     sets = checkpointed(ordered_sets(named, order, marked, words).join(left.select("set_id"), "set_id", "left_semi"))

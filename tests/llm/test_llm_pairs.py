@@ -181,6 +181,27 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
     assert sorted(((x["doc_id"], x["text"]) for x in out.collect() if x["text"]), key=str) == sorted([(4, a), (None, b), (5, c), (7, d)], key=str)
 
 
+def test_first_round_moves_few_bytes(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(str(r.random()) for _ in range(400))) for i in range(300)]
+    written = lambda: sum(spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(spark.sparkContext._jsc.sc().statusStore().executorList(False).size()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = written()
+    assert all(x["n_links"] == 0 for x in jaccard_join.similar_documents(docs(spark, rows)).collect())
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert written() - before < 8 * 300 * 396  # near half of all shingles are in prefixes
+
+
+@pytest.mark.parametrize("sets, held", [(5, 1 << 21), (1 << 16, 100)])
+def test_jaccard_join_in_small_slices(spark, sets, held, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "SLICE_SHINGLES", held)
+    monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", 500)
+    rows = near_copies()
+    got = jaccard_join.similar_documents(docs(spark, rows)).collect()
+    assert sorted([(x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in got], key=str) == brute_documents(rows)
+
+
 def test_matches_and_prefix_lengths():
     for n in range(1, 300):
         m = jaccard_join.matches(np.ones(n, np.int64))
