@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch that carries whole texts.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Columns that numbering within tasks adds: the task, and a row's number there.
+TASK, LOCAL = "__task", "__local"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,28 +67,33 @@ def gapless(df: DataFrame, key: str, out: str) -> DataFrame:
     Rows are numbered inside the task that made them and checkpointed; only the counts of each (task, key) are then
     summed, so no key is ever sorted or gathered in one place, whatever share of the rows it has.
     """
-    task = "__task"
-    tagged = df.withColumn(task, F.spark_partition_id().cast("long"))
-    schema = tagged.withColumn("__local", F.lit(0).cast("long")).schema
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for b in batches:
-            keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            order = np.argsort(keys, kind="stable")
-            local = np.empty(len(keys), np.int64)
-            at = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0]) if len(keys) else []
-            for lo, hi in zip(at, [*at[1:], len(keys)]):
-                k = int(keys[order[lo]])
-                first = seen.get(k, 0)
-                local[order[lo:hi]] = np.arange(first, first + hi - lo)
-                seen[k] = first + int(hi - lo)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], [*b.schema.names, "__local"])
-
-    tagged = checkpointed(tagged.mapInArrow(number, schema))
-    w = Window.partitionBy(key).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
-    first = tagged.groupBy(key, task).agg(F.count("*").alias("n")).select(key, task, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__first"))
-    return tagged.join(first, [key, task]).withColumn(out, F.col("__first") + F.col("__local")).drop("__first", "__local", task)
+    tagged = df.withColumn(TASK, F.spark_partition_id().cast("long"))
+    schema = tagged.withColumn(LOCAL, F.lit(0).cast("long")).schema
+    return gapless_over_tasks(tagged.mapInArrow(functools.partial(numbered, key=key), schema), key, out)
+
+
+def numbered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The batches of one task with LOCAL: numbers from 0 without gaps within each value of `key` in that task."""
+    seen: dict[int, int] = {}
+    for b in batches:
+        keys = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        local = np.empty(len(keys), np.int64)
+        at = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0]) if len(keys) else []
+        for lo, hi in zip(at, [*at[1:], len(keys)]):
+            k = int(keys[order[lo]])
+            first = seen.get(k, 0)
+            local[order[lo:hi]] = np.arange(first, first + hi - lo)
+            seen[k] = first + int(hi - lo)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], [*b.schema.names, LOCAL])
+
+
+def gapless_over_tasks(df: DataFrame, key: str, out: str) -> DataFrame:
+    """gapless() of rows that have TASK and LOCAL already, from the worker that made them: a task then needs no second one."""
+    tagged = checkpointed(df)
+    w = Window.partitionBy(key).orderBy(TASK).rowsBetween(Window.unboundedPreceding, -1)
+    first = tagged.groupBy(key, TASK).agg(F.count("*").alias("n")).select(key, TASK, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__first"))
+    return tagged.join(first, [key, TASK]).withColumn(out, F.col("__first") + F.col(LOCAL)).drop("__first", LOCAL, TASK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -150,3 +158,15 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which its worker holds no memory that it does not use: the next one may need it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dealing import tasks
-from .common import checkpointed, components, discard, documents, forest, one_thread, small_batches, table
+from .common import checkpointed, components, discard, documents, forest, lean, one_thread, small_batches, table
 from .words import Hasher, distinct, mixed, slices
 
 WORDS = 5
@@ -141,7 +141,7 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
             sets = list(shingles.of(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "set_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, set_id long")
 
 
 PREFIXES = "set_id long, least int, prefix array<long>"
@@ -209,7 +209,7 @@ def dealt(docs: DataFrame, marked, buckets: int, words: int) -> DataFrame:
         if sets:
             yield slice_(number, task, sets)
 
-    return docs.select(F.spark_partition_id().cast("long").alias("task"), bits, "text").mapInArrow(run, "bucket long, slice long, low binary, own binary")
+    return docs.select(F.spark_partition_id().cast("long").alias("task"), bits, "text").mapInArrow(lean(run), "bucket long, slice long, low binary, own binary")
 
 
 def counted(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
@@ -243,7 +243,7 @@ def counted(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
                     if hit.any():
                         yield out(part, None, np.frombuffer(own, np.uint16)[hit].tobytes())
 
-    return rows.mapInArrow(run, "slice long, low binary, own binary")
+    return rows.mapInArrow(lean(run), "slice long, low binary, own binary")
 
 
 def sociable(t: pa.Table) -> pa.Table:
@@ -282,7 +282,7 @@ def prefixes_of_sets(sets: DataFrame, order) -> DataFrame:
         for b in batches:
             yield prefixes([np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()], b.column(0).to_pylist(), order.value)
 
-    return sets.select("set_id", "shingles").mapInArrow(run, PREFIXES)
+    return sets.select("set_id", "shingles").mapInArrow(lean(run), PREFIXES)
 
 
 def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,7 +325,7 @@ def ordered_sets(docs: DataFrame, order, marked, words: int) -> DataFrame:
                     ids.append(set_id(s)), n.append(len(s)), m.append(matches(f)), sets.append(o.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "n", "matches", "shingles"])
 
-    return docs.select(bits, "text").mapInArrow(run, "set_id long, n long, matches long, shingles binary")
+    return docs.select(bits, "text").mapInArrow(lean(run), "set_id long, n long, matches long, shingles binary")
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

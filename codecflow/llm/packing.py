@@ -8,6 +8,7 @@ find their place in a pattern by arithmetic. Token ids never leave the task that
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, gapless, one_thread, small_batches, table, tokenizer_path
+from .common import LOCAL, TASK, documents, gapless_over_tasks, lean, numbered, one_thread, release, small_batches, table, tokenizer_path
 
 SEQUENCE = 2048
 #: Lengths are rounded up to this many tokens in the linear program.
@@ -139,28 +140,54 @@ def layout(demand: np.ndarray, capacity: int) -> Layout:
     return Layout(*([np.array(y, np.int64) for y in x] for x in (starts, first, each)), sequence)
 
 
-def token_pieces(docs: DataFrame, path: str, special: str, sequence: int) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece: full sequences, then the rest."""
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", TASK]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_thread()
+
+class Whole:
+    """The tokenizer of a file, read when a text asks for it: few do, and it is as large as all else in a worker."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        encode = fast_encoder(path, whole)
-        for b in batches:
-            out: list[list] = [[] for _ in columns]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text) if text and special not in text else whole.encode(text, add_special_tokens=False).ids if text else []
-                data = np.array([*ids, END_ID], "<u4")
-                for start in range(0, len(data), sequence):
-                    piece = data[start : start + sequence]
-                    for x, v in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(data))):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], columns)
+        return Tokenizer.from_file(self.path)
+
+    def encode(self, text: str, **options):
+        return self.tokenizer.encode(text, **options)
+
+
+def cut(batches: Iterator[pa.RecordBatch], path: str, special: str, sequence: int, width: int) -> Iterator[pa.RecordBatch]:
+    """PIECE of the pieces of batches(doc_id, text, task): full sequences, then the rest.
+
+    cls is 0 for full sequences; class c has up to c * width tokens.
+    """
+    one_thread()
+    whole = Whole(path)
+    encode = fast_encoder(path, whole)
+    release()  # of what the vocabulary was read from
+    for b in batches:
+        out: list[list] = [[] for _ in PIECE]
+        for doc_id, text, task in zip(*(c.to_pylist() for c in b.columns)):
+            ids = encode(text) if text and special not in text else whole.encode(text, add_special_tokens=False).ids if text else []
+            data = np.array([*ids, END_ID], "<u4")
+            for start in range(0, len(data), sequence):
+                piece = data[start : start + sequence]
+                cls = 0 if len(piece) == sequence else -(-len(piece) // width)
+                for x, v in zip(out, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(data), cls, task)):
+                    x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], PIECE)
+
+
+def token_pieces(docs: DataFrame, path: str, special: str, sequence: int, width: int) -> DataFrame:
+    """PIECE of each piece, and its number within its task and class; one worker does both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return numbered(cut(batches, path, special, sequence, width), "cls")
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return docs.withColumn(TASK, F.spark_partition_id().cast("long")).mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*PIECE, LOCAL]))
 
 
 def fast_encoder(path: str, whole):
@@ -200,10 +227,8 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, wid
     """
     spark = docs.sparkSession
     classes = sequence // width
-    pieces = token_pieces(documents(docs), tokenizer_path("byte_bpe_50k.json", path), "<|endoftext|>", sequence)
-    # class 0: full sequences; class c: up to c * width tokens
-    pieces = pieces.withColumn("cls", F.when(F.col("length") == sequence, 0).otherwise(F.ceil(F.col("length") / width)).cast("long"))
-    ranked = gapless(pieces, "cls", "rank")
+    pieces = token_pieces(documents(docs), tokenizer_path("byte_bpe_50k.json", path), "<|endoftext|>", sequence, width)
+    ranked = gapless_over_tasks(pieces, "cls", "rank")
     counts = dict(ranked.groupBy("cls").count().collect())  # one row for each class at most
     demand = np.array([counts.get(c, 0) for c in range(1, classes + 1)], np.int64)
     plan = spark.sparkContext.broadcast(layout(demand, classes))
@@ -219,7 +244,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, wid
                 seq[of] += full
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq), pa.array(slot)], [*b.schema.names, "sequence_id", "slot"])
 
-    placed = ranked.mapInArrow(place, ranked.withColumns({"sequence_id": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")}).schema)
+    placed = ranked.mapInArrow(lean(place), ranked.withColumns({"sequence_id": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")}).schema)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
     before = Window.partitionBy("sequence_id").orderBy("cls", "slot").rowsBetween(Window.unboundedPreceding, -1)
     rests = placed.where("cls > 0").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, documents, one_thread, small_batches, table
+from .common import crc32_of_id, documents, lean, one_thread, small_batches, table
 
 #: Hashed terms, latent dimensions, labelled documents of each class that are fitted, neighbours that vote.
 TERMS, LATENT, SAMPLE_PER_CLASS, NEIGHBOURS = 8192, 64, 1000, 25
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], ["doc_id", "quality", "at", "weight"])
 
     # an id with several texts stands for the least of them, whatever the order of the rows
-    got = sample.mapInArrow(rows, "doc_id long, quality int, at binary, weight binary").groupBy("doc_id").agg(F.min(F.struct("quality", "at", "weight")).alias("r")).toLocalIterator()
+    got = sample.mapInArrow(lean(rows), "doc_id long, quality int, at binary, weight binary").groupBy("doc_id").agg(F.min(F.struct("quality", "at", "weight")).alias("r")).toLocalIterator()
     found = sorted((x["doc_id"], x["r"]["quality"], bytes(x["r"]["at"]), bytes(x["r"]["weight"])) for x in got)
     x = np.zeros((len(found), TERMS), np.float32)
     for i, (_, _, at, weight) in enumerate(found):
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 scores.append(m.score(rows))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores))], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(lean(run), docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, small_batches, table
+from .common import checkpointed, discard, lean, small_batches, table
 
 LENGTH, GRAM = 200, 32
 #: Windows in a string: each string has its anchor among so many places.
@@ -131,7 +131,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                 pos = place - np.r_[0, ends[:-1]][part] + offset[part]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rid[text[part]]), pa.array(pos << _POS | lo << _LO | hi)], ["h", "rid", "at"])
 
-    return rows.select("rid", "body").mapInArrow(run, "h long, rid long, at long")
+    return rows.select("rid", "body").mapInArrow(lean(run), "h long, rid long, at long")
 
 
 def unpacked(at) -> tuple:
@@ -190,7 +190,7 @@ def contexts(rows: DataFrame) -> DataFrame:
                     size = 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    return rows.select("rid", "row", "found").mapInArrow(run, "h long, rid long, at long, context binary")
+    return rows.select("rid", "row", "found").mapInArrow(lean(run), "h long, rid long, at long, context binary")
 
 
 def blind_trie(numbers: list[int], width: int, members: list[int]) -> tuple[list[int], list[int]]:
@@ -387,7 +387,7 @@ def repeated_spans(found: DataFrame) -> DataFrame:
     hot = F.col("at").bitwiseAND(_HOT) != 0
     whole = F.col("context").isNotNull()
     ordered = found.where(whole & ~hot).select("h", "rid", "at", "context").repartition("h").sortWithinPartitions("h")
-    sorted_ = ordered.mapInArrow(run, "rid long, s long, e long")
+    sorted_ = ordered.mapInArrow(lean(run), "rid long, s long, e long")
     pos, lo, hi = F.shiftright("at", _POS), F.shiftright("at", _LO).bitwiseAND(_BYTE), F.col("at").bitwiseAND(_BYTE)
     known = found.where(~whole).select("rid", (pos - hi).alias("s"), (pos - lo + LENGTH).alias("e"))
     return sorted_.unionByName(known).unionByName(hot_spans(found.where(whole & hot)))
@@ -405,7 +405,7 @@ def hot_spans(found: DataFrame) -> DataFrame:
                     rids.append(rid), starts.append(pos - hi + k), prints.append(xxhash.xxh3_128_digest(context[k : k + LENGTH]))
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(starts, pa.int64()), pa.array(prints, pa.binary())], ["rid", "s", "print"])
 
-    prints = found.select("rid", "at", "context").mapInArrow(run, "rid long, s long, print binary")
+    prints = found.select("rid", "at", "context").mapInArrow(lean(run), "rid long, s long, print binary")
     twice = prints.groupBy("print").count().where("count > 1").select("print")
     return prints.join(twice, "print").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
 
@@ -471,7 +471,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     x.append(v)
             yield pa.RecordBatch.from_arrays([b.column("row").field("doc_id"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names)
 
-    return got.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return got.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -490,7 +490,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             left = [cut(body or b"", spans, copies)[0].decode("utf-8", "ignore") for body, spans, copies in cuts]
             yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(left, pa.string())], [*(f.name for f in rows.type), left_name])
 
-    out = got.mapInArrow(run, schema)
+    out = got.mapInArrow(lean(run), schema)
     changed = {"text": F.when(F.col("text").isNull(), None).otherwise(F.col(left_name))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.coalesce(F.col(left_name), F.lit(""))).cast(docs.schema["n_chars"].dataType)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from codecflow.llm import chat, lm_scoring, packing, quality_classifier, quality_rules, sentencepieces, sharding, words
+from codecflow.llm import chat, common, lm_scoring, packing, quality_classifier, quality_rules, sentencepieces, sharding, words
 from codecflow.llm.common import gapless, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +108,42 @@ def test_packing(spark, sequence, width):
     assert packing.pack(docs(spark, [])).isEmpty()
 
 
+def test_packing_has_one_worker_a_task(spark, monkeypatch):
+    plans = []
+    keep = common.checkpointed
+    monkeypatch.setattr(common, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    packing.pack(docs(spark, ROWS))
+    assert [p.count("MapInArrow") for p in plans] == [1]
+
+
+def test_only_texts_with_a_special_string_need_the_tokenizer(monkeypatch):
+    import tokenizers
+
+    class Missing:
+        from_file = None
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    want = {t: ids_of(t) for t in ("One two.", "<|endoftext|> is text")}
+    batch = lambda text: pa.record_batch([pa.array([7]), pa.array([text]), pa.array([3])], ["doc_id", "text", "task"])
+    run = lambda text: [r for b in packing.cut(iter([batch(text)]), path, "<|endoftext|>", 4, 2) for r in b.to_pylist()]
+    for text, ids in want.items():
+        parts = [ids[k : k + 4] for k in range(0, len(ids), 4)]
+        assert [(r["length"], r["ids_crc32"], r["cls"], r["__task"]) for r in run(text)] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes()), 0 if len(x) == 4 else -(-len(x) // 2), 3) for x in parts]
+    monkeypatch.setattr(tokenizers, "Tokenizer", Missing)
+    assert len(run("One two.")) and len(run("")) == 1
+    with pytest.raises(TypeError):
+        run("<|endoftext|> is text")
+
+
+def test_lean_gives_memory_back_whatever_happens(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    with pytest.raises(ZeroDivisionError):
+        list(common.lean(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert len(calls) == 2
+
+
 def test_fast_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
