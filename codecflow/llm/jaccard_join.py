@@ -5,7 +5,7 @@ documents in the order of hashes alone, the others are ordered by hash. Two sets
 size - ceil(0.75 * size) + m, for every m. Each document has the m that its estimated candidate cost asks for, and a prefix
 of that length. The first round deals prefixes to buckets as six bytes a shingle, packed into one row for each bucket and
 slice of a task's sets, and gets numbers of shingles met back: no posting is a row there. Documents that share enough prefix shingles with others to have a partner at all are joined to clusters
-through the shingles they share; there only pairs that share as many prefix shingles as the smaller m of the two are
+through the shingles they share, less those that may be there by chance and that no pair needs; there only pairs that share as many prefix shingles as the smaller m of the two are
 verified. Clusters are cut into blocks of sets with the same least prefix shingle, and of two blocks only those meet that
 share as many prefix shingles as any two of their sets must: so neither does a pair become a row, nor does a cluster meet in
 one task or all with all.
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.dealing import tasks
@@ -300,6 +300,19 @@ def meeting(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met, met.join(able.select("set_id"), "set_id")
 
 
+def firm(met: DataFrame) -> DataFrame:
+    """Edges (a, b) from sets to the least sets (`to`) of their prefix shingles, without those that chance alone may have made.
+
+    Two partners share at least the greater `least` of the two, so each set may pass over fewer than half its own `least` of
+    shingles, and one that both keep is left. It passes over those that it has in common with the fewest others of the same
+    `to`: chance brings single ones, copies bring many. Otherwise, in a large corpus, such single shingles would join nearly
+    all groups of copies to one cluster.
+    """
+    e = met.where("set_id <> to").groupBy("set_id", "to").agg(F.count("*").alias("c"), F.min("least").alias("least"))
+    passed = F.sum("c").over(Window.partitionBy("set_id").orderBy("c", "to"))  # a set has no more rows than prefix shingles
+    return e.withColumn("passed", passed).where("2 * passed >= least").select(F.col("set_id").alias("a"), F.col("to").alias("b"))
+
+
 def marks(ids: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
     """A bitmap of `bits` bits, those of the hashes of ids(id) set: it tells which ids are certainly not among them."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -445,8 +458,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, tile: int = TILE) ->
     second, met = meeting(prefixes_of_sets(sets, order).select(F.explode("prefix").alias("h"), "set_id", "least"))
     third, met = meeting(met.select("h", "set_id", "least"))  # what has gone may leave others without a partner
     discard(second)
-    # The least set of each shingle stands for it: whoever shares a shingle is joined through it.
-    clusters = components(met.where("set_id <> to").select(F.col("set_id").alias("a"), F.col("to").alias("b")))
+    # The least set of each shingle stands for it: whoever shares a shingle that neither passes over is joined through it.
+    clusters = components(firm(met))
     members = checkpointed(clusters.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(left, "set_id"))
     links = checkpointed(tiles(members, met, sets, tile).groupBy("cluster", "lo", "hi").applyInArrow(tile_links, "a long, b long, n long"))
     discard(third, sets)

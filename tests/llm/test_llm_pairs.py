@@ -202,6 +202,22 @@ def test_jaccard_join_in_small_slices(spark, sets, held, monkeypatch):
     assert sorted([(x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in got], key=str) == brute_documents(rows)
 
 
+def test_single_common_shingles_join_no_clusters(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(12)]
+    rows, sizes = [], []
+    for k in range(12):  # pairs of near copies in a ring, each with four shingles of the pair before and of the one behind
+        text = [word() for _ in range(120)]
+        for i in range(2):
+            rows.append((2 * k + i, " ".join([passages[k], *text[:60], passages[k - 1], *text[60 : 119 + i]])))
+    tiles = jaccard_join.tiles
+    monkeypatch.setattr(jaccard_join, "tiles", lambda members, *rest: sizes.extend(x["count"] for x in members.groupBy("cluster").count().collect()) or tiles(members, *rest))
+    got = jaccard_join.similar_documents(docs(spark, rows)).collect()
+    assert sorted([(x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in got], key=str) == brute_documents(rows)
+    assert sizes == [2] * 12
+
+
 def test_matches_and_prefix_lengths():
     for n in range(1, 300):
         m = jaccard_join.matches(np.ones(n, np.int64))
