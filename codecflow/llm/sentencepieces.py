@@ -1,6 +1,6 @@
 """Encoding and decoding with merge-type SentencePiece vocabularies.
 
-The encoder is an agenda of adjacent symbol pairs ordered by piece score, then by place. No merge can cross a place whose
+The encoder is an agenda of adjacent symbol pairs ordered by piece score, then by place: a heap, or a plain list for short parts. No merge can cross a place whose
 two characters are neighbours in no piece of the vocabulary, so a text falls apart there: before space marks and between
 letters and other characters, where the vocabulary allows it. Each part is encoded once and kept; the parts that an Arrow
 batch brings are checked against the sentencepiece library, which also decodes.
@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, small_batches, table, tokenizer_path
 
 MARK = "▁"
-#: Parts whose encoding a worker keeps; beyond it the memory starts afresh, which changes no result.
+#: Parts whose encoding a worker keeps, and as many before them; the oldest half goes at once, less what was used since. That
+#: changes no result.
 KEPT_PARTS = 350_000
+#: Symbols of a part up to which its agenda is a plain list, searched for the best rank: faster than a heap for words.
+SHORT, NO_RANK = 32, 1 << 40
 
 
 class Agenda:
@@ -42,6 +46,7 @@ class Agenda:
         self.unknown = lib.unk_id()
         self.cut, self.before = self.cuts()
         self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.numbers = list(range(n))
 
     def cuts(self) -> tuple[re.Pattern, dict[bool, str]]:
@@ -64,7 +69,7 @@ class Agenda:
     def merge(self, symbols: str) -> list[int]:
         """Ids of one part: take the best-scored adjacent pair, leftmost among equals, until no pair is a piece."""
         out: list[int] = []
-        for t in self.by_agenda(symbols):
+        for t in self.by_list(symbols) if len(symbols) <= SHORT else self.by_agenda(symbols):
             k = self.ids.get(t)
             if k is not None:
                 out.append(k)
@@ -74,6 +79,24 @@ class Agenda:
                 out.append(self.unknown)
         return out
 
+    def by_list(self, symbols: str) -> list[str]:
+        """by_agenda() of a short part: the agenda is the list of the ranks of all adjacent pairs, in their order."""
+        rank = self.rank.get
+        text = list(symbols)
+        agenda = [rank(a + b, NO_RANK) for a, b in zip(text, text[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NO_RANK:
+                break
+            i = agenda.index(best)
+            text[i] = pair = text[i] + text.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(pair + text[i + 1], NO_RANK)
+            if i:
+                agenda[i - 1] = rank(text[i - 1] + pair, NO_RANK)
+        return text
+
     def by_agenda(self, symbols: str) -> list[str]:
         """Symbols left when no adjacent pair is a piece. An entry of the agenda is the rank of a pair's score and its
         place in one number; an entry whose pair has changed meanwhile no longer has that rank and is passed over."""
@@ -112,33 +135,42 @@ class Agenda:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        known, out = self.known, []
-        for p in self.cut.findall(marked):
-            e = known.get(p)
-            if e is None:
-                ids = tuple([self.numbers[i] for i in self.merge(p)])
-                self.fresh.append(p)
-                if len(known) >= KEPT_PARTS:
-                    known.clear()
-                e = (",".join(map(str, ids)), ids)
-                if len(p) <= 64:
-                    known[p] = e
-            out.append(e)
+        found = self.cut.findall(marked)
+        out = list(map(self.known.get, found))
+        if None in out:
+            for k, e in enumerate(out):
+                if e is None:
+                    out[k] = self.part(found[k])
         return out
 
+    def part(self, p: str) -> tuple[str, tuple[int, ...]]:
+        """What parts() gives for one part that was not known when its text came."""
+        e = self.known.get(p) or self.older.get(p)
+        if e is None:
+            ids = tuple([self.numbers[i] for i in self.merge(p)])
+            self.fresh.append(p)
+            e = (",".join(map(str, ids)), ids)
+        if len(p) <= 64:
+            if len(self.known) >= KEPT_PARTS:
+                self.known, self.older = {}, self.known
+            self.known[p] = e
+        return e
+
     def check(self) -> None:
         """Holds every part encoded since the last call against the library, which puts a space mark before each text."""
         fresh, self.fresh = self.fresh, []
-        texts, ahead = [], []
+        texts, ahead, merged = [], [], {"": []}
         for p in fresh:
             if not p.strip(MARK):  # marks alone: the library adds none to an empty text
                 c = "a"
             else:
                 c = "" if p[0] == MARK else self.before[not self.cut.fullmatch("." + p)]
             texts.append(c + p if c else p[1:])
-            ahead.append(self.merge(MARK + c) if c else [])
+            if c not in merged:
+                merged[c] = self.merge(MARK + c)
+            ahead.append(merged[c])
         for p, a, want in zip(fresh, ahead, self.lib.encode(texts, num_threads=1) if fresh else []):
-            got = self.known.get(p)
+            got = self.known.get(p) or self.older.get(p)
             if [*a, *(got[1] if got else self.merge(p))] != want:
                 raise ValueError("the agenda and the library differ on " + repr(p[:60]))
 
@@ -166,7 +198,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts, sha, decoded = [], [], []
             for t in b.column(1).to_pylist():
                 parts = agenda.parts(t or "")
-                ids = [i for e in parts for i in e[1]]
+                ids = list(chain.from_iterable([e[1] for e in parts]))
                 counts.append(len(ids))
                 sha.append(hashlib.sha256(",".join([e[0] for e in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(agenda.lib.decode(ids).encode() if ids else b"").hexdigest())

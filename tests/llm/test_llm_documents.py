@@ -198,6 +198,20 @@ def test_agenda_equals_the_library():
         wrong.check()
 
 
+def test_parts_in_use_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "KEPT_PARTS", 5)
+    a, merged = sentencepieces.Agenda(tokenizer_path("piece_bpe_32k.model")), []
+    merge = a.merge
+    a.merge = lambda p: merged.append(p) or merge(p)
+    r = random.Random(3)
+    for _ in range(60):
+        t = " ".join(["the", *("".join(r.choice("abcdeorst") for _ in range(r.randint(1, 60))) for _ in range(2))])
+        assert a.encode(t) == a.lib.encode(t), t
+        a.check()
+    assert merged.count("▁the") == 1
+    assert all(a.by_list(p) == a.by_agenda(p) for p in merged)
+
+
 # -- chat ------------------------------------------------------------------------------------------------------------------------
 
 
